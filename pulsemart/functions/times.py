@@ -9,12 +9,21 @@ from pyspark.sql import functions as F
 
 
 def moment(as_of: dt.datetime | str | Column | None) -> Column:
-    """`as_of` as a timestamp column; the wall clock only when the caller gives nothing."""
+    """`as_of` as a timestamp column; the wall clock only when the caller gives nothing.
+
+    A time without zone is read in the session's zone, not in that of the machine the driver runs on.
+    """
     if as_of is None:
         return F.current_timestamp()
     if isinstance(as_of, Column):
         return as_of
-    return F.lit(as_of).cast("timestamp")
+    text = as_of if isinstance(as_of, str) else as_of.isoformat(sep=" ")
+    return F.lit(text).cast("timestamp")
+
+
+def wall_clock(at: dt.datetime | str) -> Column:
+    """A time without zone, for comparison with columns stored without one."""
+    return F.lit(at if isinstance(at, str) else at.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def hours_before(as_of: dt.datetime | str | Column | None, hours: int) -> Column:

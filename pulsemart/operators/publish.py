@@ -153,11 +153,11 @@ def refresh(
         .join(users, "user_id", "left_anti")
         .select(*schemas.PUBLISHED.fieldNames())
     )
-    fields = schemas.PUBLISHED.fieldNames()
-    new = old.unionByName(refreshed(mart, users, kinds, buckets).select(*fields)).persist(StorageLevel.MEMORY_AND_DISK)
+    new = old.unionByName(refreshed(mart, users, kinds, buckets).select(*schemas.PUBLISHED.fieldNames()))
+    new = new.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         write(new, path)
-        # at most `buckets` numbers per kind: directories left without any document
+        # at most one row per directory: those left without any document are removed
         filled = {(row.kind, row.bucket) for row in new.select("kind", "bucket").distinct().collect()}
         empty = [(k, r.bucket) for r in hit.collect() for k in kinds if (k, r.bucket) not in filled]
         upsert.drop_directories(spark, [f"{path}/kind={k}/bucket={b}" for k, b in empty])

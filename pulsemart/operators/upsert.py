@@ -189,24 +189,37 @@ def upsert_into(
         delta.unpersist()
 
 
-def delete_from(spark: SparkSession, path: str, keys: DataFrame, schema, partitions: list[str], sort: list[str]) -> None:
-    """Deletes the rows matching `keys` from files at `path`, rewriting only partitions that hold such rows.
+def rewrite_partitions(
+    spark: SparkSession,
+    path: str,
+    rows: DataFrame,
+    hit: DataFrame,
+    partitions: list[str],
+    sort: list[str],
+    options: dict[str, str] | None = None,
+) -> None:
+    """Makes `rows` the whole content of the partitions listed in `hit`.
 
-    A partition that loses all its rows is not written by the overwrite, so it is removed by name.
+    An overwrite only replaces partitions it has rows for, so partitions left without any are removed by name.
+    The driver sees at most one row per directory.
     """
-    base = spark.read.schema(schema).parquet(path)
-    hit = base.join(keys.distinct(), keys.columns, "left_semi").select(*partitions).distinct()
-    touched = base.join(hit, partitions, "left_semi").select(*base.columns)
-    left = delete(touched, keys).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # partition values only: as many rows as there are directories to drop
-        emptied = hit.join(left.select(*partitions).distinct(), partitions, "left_anti").collect()
-        overwrite_partitions(left, path, partitions, sort)
+        emptied = hit.distinct().join(rows.select(*partitions).distinct(), partitions, "left_anti").collect()
+        overwrite_partitions(rows, path, partitions, sort, options)
     finally:
-        left.unpersist()
+        rows.unpersist()
     drop_directories(spark, [f"{path}/" + "/".join(f"{p}={row[p]}" for p in partitions) for row in emptied])
 
 
+def delete_from(spark: SparkSession, path: str, keys: DataFrame, schema, partitions: list[str], sort: list[str]) -> None:
+    """Deletes the rows matching `keys` from files at `path`, rewriting only partitions that hold such rows."""
+    base = spark.read.schema(schema).parquet(path)
+    hit = base.join(keys.distinct(), keys.columns, "left_semi").select(*partitions).distinct()
+    touched = base.join(hit, partitions, "left_semi").select(*base.columns)
+    rewrite_partitions(spark, path, delete(touched, keys), hit, partitions, sort)
+
+
 def expired_partitions(df: DataFrame, partitions: list[str], date: str, days: int, as_of=None) -> DataFrame:
     """Partition values past retention."""
     return df.filter(F.col(date) <= days_before(as_of, days)).select(*partitions).distinct()

@@ -16,6 +16,12 @@ RUNTIME_CONF = {
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
 }
 
+# Streams keep one row of state per device and hour inside the lookback: on disk, with incremental checkpoints.
+STREAM_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def prepare(spark: SparkSession, time_zone: str = TIME_ZONE) -> SparkSession:
     """Pin the time zone (it decides hours and dates) and keep adaptive execution on."""
@@ -25,6 +31,12 @@ def prepare(spark: SparkSession, time_zone: str = TIME_ZONE) -> SparkSession:
     return spark
 
 
+def prepare_streaming(spark: SparkSession) -> SparkSession:
+    for key, value in STREAM_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def build_session(
     app: str = "pulsemart",
     master: str | None = None,

@@ -12,6 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.times import wall_clock
 from ..operators import crm, hourly, mart
 
 AS_OF = "2024-01-31 00:00:00"
@@ -30,9 +31,9 @@ def raw_telemetry(
     """Events as samples. The range is applied to the stored column so that it reaches the file scan."""
     events = table(spark, folder, "events")
     if start is not None:
-        events = events.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        events = events.filter(F.col("ts") >= wall_clock(start))
     if end is not None:
-        events = events.filter(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
+        events = events.filter(F.col("ts") < wall_clock(end))
     k = F.col("k")
     return events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select(
         F.col("event_id").alias("telemetry_id"),
