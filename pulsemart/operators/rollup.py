@@ -117,7 +117,11 @@ def finish_daily(parts: DataFrame, weighted: bool = False) -> DataFrame:
 def daily(mart: DataFrame, weighted: bool = False, as_of=None) -> DataFrame:
     """Daily rollup straight from mart rows, in one shuffle; stamped only when `as_of` is given."""
     result = finish_daily(daily_partials(mart), weighted)
-    return result if as_of is None else result.withColumn("etl_processed_at", moment(as_of))
+    return result if as_of is None else stamp(result, as_of)
+
+
+def stamp(rows: DataFrame, as_of=None) -> DataFrame:
+    return rows.withColumn("etl_processed_at", moment(as_of))
 
 
 def daily_user(mart: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def load_mart(
     if rollup_path:
         touched = rollup.touched_days(delta)
         upsert.rewrite_partitions(
-            spark, rollup_path, rollup.refresh(whole, delta), touched, ["report_date"], ROLLUP_SORT
+            spark, rollup_path, rollup.stamp(rollup.refresh(whole, delta), as_of), touched, ["report_date"], ROLLUP_SORT
         )
     if documents_path:
         publish.refresh(spark, whole, documents_path, publish.affected(delta))

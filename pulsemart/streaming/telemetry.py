@@ -71,15 +71,17 @@ def keep_daily(
     mart: DataFrame,
     path: str,
     checkpoint: str,
+    as_of=None,
     lookback_hours: int = defaults.BATCH_LOOKBACK_HOURS,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Stored daily partials kept by upserting the groups each batch changed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        rows = rollup.stamp(batch, as_of)
         # a group's partial only grows, so between two of one group the one with more rows is the newer
         upsert.upsert_into(
-            batch.sparkSession, path, batch, rollup.DAILY_KEYS, ["report_date"], ["user_id", "prosthesis_id"], order=["hour_rows"]
+            batch.sparkSession, path, rows, rollup.DAILY_KEYS, ["report_date"], ["user_id", "prosthesis_id"], order=["hour_rows"]
         )
 
     return (
