@@ -39,13 +39,22 @@ def month_key(date: Column) -> Column:
     return (F.year(date) * 100 + F.month(date)).cast("int")
 
 
+# Milliseconds beyond this are no times but garbage, and would overflow.
+MILLIS_LIMIT = 10**16
+
+
+def _is_iso(text: Column) -> Column:
+    """Whether a date or time is text like 2024-03-01 rather than an epoch number; cheaper than trying both."""
+    return F.substring(text, 5, 1) == "-"
+
+
 def epoch_or_iso_date(text: Column) -> Column:
     """A date sent as days since the epoch or as ISO text; anything else gives NULL."""
-    days = F.when(text.rlike(r"^-?\d{1,7}$"), text).try_cast("int")
-    return F.coalesce(F.date_from_unix_date(days), text.try_cast("date"))
+    return F.when(_is_iso(text), text.try_cast("date")).otherwise(F.date_from_unix_date(text.try_cast("int")))
 
 
 def epoch_or_iso_timestamp(text: Column) -> Column:
     """A timestamp sent as milliseconds since the epoch or as ISO text; anything else gives NULL."""
-    millis = F.when(text.rlike(r"^-?\d{5,16}$"), text).try_cast("long")
-    return F.coalesce(F.timestamp_millis(millis), text.try_cast("timestamp"))
+    millis = text.try_cast("long")
+    sane = F.when(millis.between(-MILLIS_LIMIT, MILLIS_LIMIT), millis)
+    return F.when(_is_iso(text), text.try_cast("timestamp")).otherwise(F.timestamp_millis(sane))

@@ -27,6 +27,12 @@ def _typed(text: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
+def _once(value: Column) -> Column:
+    """`value` by way of a one-element explode: filters on its fields then stay above it, instead of being
+    pushed down with a copy of the parser for every field they read."""
+    return F.explode_outer(F.array(value))
+
+
 def decode(messages: DataFrame, entity: str) -> DataFrame:
     """Typed, versioned rows from JSON messages in column `value` (one object per message).
 
@@ -38,7 +44,7 @@ def decode(messages: DataFrame, entity: str) -> DataFrame:
     parsed = messages.select(
         "value",
         seq.cast("long").alias("_seq"),
-        F.from_json("value", wire, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("m"),
+        _once(F.from_json("value", wire, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})).alias("m"),
     )
     columns = [_typed(F.col(f"m.{f.name}"), f.dataType).alias(f.name) for f in schemas.CHANGE_TABLES[entity].fields]
     version = F.col("m.__source_ts_ms").try_cast("long")

@@ -132,33 +132,38 @@ def lag(progress: DataFrame, threshold: int = defaults.LAG_THRESHOLD) -> DataFra
 # -- access logs -------------------------------------------------------------------------------------------
 
 
-def _field(name: str) -> Column:
-    """Value of `name=value` in a log line, NULL if the line has none."""
-    return F.nullif(F.regexp_extract("line", rf"(?:^|\s){name}=(\S+)", 1), F.lit(""))
+SERVICE_FIELDS = ["request_id", "user", "ip", "method", "path", "status", "duration_ms"]
+_SERVICE_LINE = " ".join(rf"{name}=\S+" for name in SERVICE_FIELDS)
+_EDGE_LINE = r'"\S+ (\S+)[^"]*" (\d{3}) .*cache_status=(\S+) rt=([0-9.]+)'
+
+
+def _tokens(text: Column, n: int) -> Column:
+    """`text` split at blanks, by way of a one-element explode so that the expression behind it is computed
+    once however many parts are read; lines that do not match give NULL."""
+    parts = F.split(text, " ", n)
+    return F.explode(F.array(parts)).alias("t")
 
 
 def parse_service_log(lines: DataFrame) -> DataFrame:
     """Request lines of the report service (`key=value` pairs) from column `line`; other lines drop out."""
-    return lines.select(
-        _field("request_id").alias("request_id"),
-        _field("user").alias("user"),
-        _field("ip").alias("ip"),
-        _field("method").alias("method"),
-        _field("path").alias("path"),
-        _field("status").try_cast("int").alias("status"),
-        _field("duration_ms").try_cast("double").alias("duration_ms"),
-    ).filter(F.col("path").isNotNull() & F.col("status").isNotNull())
+    found = lines.select(_tokens(F.regexp_extract("line", _SERVICE_LINE, 0), len(SERVICE_FIELDS)))
+    values = {name: F.substring(F.get("t", F.lit(i)), len(name) + 2, 1 << 30) for i, name in enumerate(SERVICE_FIELDS)}
+    values["status"] = values["status"].try_cast("int")
+    values["duration_ms"] = values["duration_ms"].try_cast("double")
+    rows = found.filter(F.size("t") == len(SERVICE_FIELDS)).select(*[v.alias(name) for name, v in values.items()])
+    return rows.filter(F.col("status").isNotNull())
 
 
 def parse_edge_log(lines: DataFrame) -> DataFrame:
     """Lines of the edge cache: request path, status, cache outcome, request time in ms."""
-    request = r'"(\S+) (\S+)[^"]*" (\d{3}) '
-    return lines.select(
-        F.regexp_extract("line", request, 2).alias("path"),
-        F.regexp_extract("line", request, 3).try_cast("int").alias("status"),
-        _field("cache_status").alias("cache_status"),
-        (_field("rt").try_cast("double") * 1000).alias("duration_ms"),
-    ).filter(F.col("status").isNotNull())
+    whole = "^.*?" + _EDGE_LINE + ".*$"
+    found = lines.filter(F.col("line").rlike(_EDGE_LINE)).select(_tokens(F.regexp_replace("line", whole, "$1 $2 $3 $4"), 4))
+    return found.select(
+        F.get("t", F.lit(0)).alias("path"),
+        F.get("t", F.lit(1)).cast("int").alias("status"),
+        F.get("t", F.lit(2)).alias("cache_status"),
+        (F.get("t", F.lit(3)).try_cast("double") * 1000).alias("duration_ms"),
+    )
 
 
 def access_log(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:

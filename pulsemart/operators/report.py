@@ -105,11 +105,10 @@ def user_daily_cdc(mart: DataFrame, customer_data: DataFrame) -> DataFrame:
     return rollup.merge(parts.join(owner, "chip_id", "left"), USER_DAY_KEYS).select(*_user_day_columns(cap=False))
 
 
-def daily_detail(mart: DataFrame) -> DataFrame:
-    """A user's day over all devices, with the names of its newest hour."""
-    return rollup.daily_user(mart).select(
-        "user_id",
-        "report_date",
+def _detail_columns() -> list[Column]:
+    return [
+        F.col("user_id"),
+        F.col("report_date"),
         *[F.col(f"latest.{name}").alias(name) for name in rollup.DAY_NAMES],
         F.col("movements").alias("total_movements"),
         F.col("successful").alias("total_successful"),
@@ -120,19 +119,31 @@ def daily_detail(mart: DataFrame) -> DataFrame:
         F.col("temp_max").alias("max_actuator_temp"),
         F.col("errors").alias("total_errors"),
         day_mask_hours(F.col("hours")).alias("active_hours"),
-    )
+    ]
+
+
+def daily_detail(mart: DataFrame) -> DataFrame:
+    """A user's day over all devices, with the names of its newest hour."""
+    return rollup.daily_user(mart).select(*_detail_columns())
+
+
+def _hour_values() -> list[Column]:
+    zero_if_null = {"success_rate", "avg_response_time", "avg_battery_level"}
+    return [F.coalesce(c, F.lit(0.0)).alias(c) if c in zero_if_null else F.col(c) for c in HOUR_COLUMNS]
 
 
 def hourly_rows(mart: DataFrame) -> DataFrame:
     """The hourly breakdown, flat; missing rates and means read 0."""
-    zero_if_null = {"success_rate", "avg_response_time", "avg_battery_level"}
-    return mart.select(
-        "user_id",
-        "report_date",
-        F.col("report_hour").alias("hour"),
-        "prosthesis_id",
-        *[F.coalesce(c, F.lit(0.0)).alias(c) if c in zero_if_null else F.col(c) for c in HOUR_COLUMNS],
-    )
+    hour = F.col("report_hour").alias("hour")
+    return mart.select("user_id", "report_date", hour, "prosthesis_id", *_hour_values())
+
+
+def _nested_hours() -> Column:
+    """Hours of a group as an array ordered by hour, then device; the device only orders and is not shown."""
+    element = F.struct(F.col("report_hour").alias("hour"), F.col("prosthesis_id"), *_hour_values())
+    shown = ["hour", *HOUR_COLUMNS]
+    ordered = F.sort_array(F.collect_list(element))
+    return F.transform(ordered, lambda e: F.struct(*[e[c].alias(c) for c in shown])).alias("hourly_stats")
 
 
 def daily_document(mart: DataFrame, page_rows: int = defaults.DOCUMENT_PAGE_ROWS) -> DataFrame:
@@ -142,8 +153,11 @@ def daily_document(mart: DataFrame, page_rows: int = defaults.DOCUMENT_PAGE_ROWS
     collected into one array: its rows are spread over pages by hour and, inside an hour, by device, each page
     is collected on its own, and every page carries the full day's header. `page` is 0 for a whole document;
     otherwise reading pages in order gives the whole breakdown in hour order. Nothing is dropped.
+
+    Usually no user-day is that long: the list of long ones is then empty at run time, adaptive execution drops
+    the joins with it, and the documents cost one shuffle.
     """
-    day = ["user_id", "report_date"]
+    day = rollup.DAY_KEYS
     by_hour = mart.groupBy(*day, "report_hour").agg(F.count(F.lit(1)).alias("_n"))
     big = (
         by_hour.groupBy(*day)
@@ -151,23 +165,15 @@ def daily_document(mart: DataFrame, page_rows: int = defaults.DOCUMENT_PAGE_ROWS
         .filter(F.col("_rows") > page_rows)
         .select(*day, F.ceil(F.col("_most") / page_rows).cast("int").alias("_shards"))
     )
-
-    def nest(rows: DataFrame, keys: list[str]) -> DataFrame:
-        element = F.struct("hour", "prosthesis_id", *HOUR_COLUMNS)
-        ordered = F.sort_array(F.collect_list(element))
-        shown = F.transform(ordered, lambda e: F.struct(e["hour"].alias("hour"), *[e[c].alias(c) for c in HOUR_COLUMNS]))
-        return rows.groupBy(*keys).agg(shown.alias("hourly_stats"))
-
-    small = mart.join(big, day, "left_anti")
-    whole = daily_detail(small).join(nest(hourly_rows(small), day), day).withColumn("page", F.lit(0))
-
-    large = mart.join(big, day)
+    whole = (
+        rollup.daily_user(mart.join(big, day, "left_anti"), [_nested_hours()])
+        .select(*_detail_columns(), "hourly_stats")
+        .withColumn("page", F.lit(0))
+    )
     shard = F.pmod(F.xxhash64("prosthesis_id"), F.col("_shards")).cast("int")
     page = F.lit(1) + F.col("report_hour") * F.col("_shards") + shard
-    paged_rows = large.withColumn("page", page.cast("int"))
-    pages = nest(
-        paged_rows.withColumnRenamed("report_hour", "hour").select(*day, "page", "hour", "prosthesis_id", *HOUR_COLUMNS),
-        [*day, "page"],
+    pages = (
+        mart.join(big, day).withColumn("page", page.cast("int")).groupBy(*day, "page").agg(_nested_hours())
     )
     paged = daily_detail(mart.join(big, day, "left_semi")).join(pages, day)
     return whole.unionByName(paged)

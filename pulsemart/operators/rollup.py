@@ -58,17 +58,21 @@ def _measures() -> list[Column]:
 
 
 def partials(
-    mart: DataFrame, keys: list[str], names: list[str] | None = None, order: list[str] | None = None
+    mart: DataFrame,
+    keys: list[str | Column],
+    names: list[str] | None = None,
+    order: list[str] | None = None,
+    extra: list[Column] | None = None,
 ) -> DataFrame:
     """Mergeable daily measures of mart rows by `keys`.
 
-    With `names`, `latest` holds those columns as of the last row by `order`. Measures no caller reads are
+    `extra` aggregates share the same shuffle. With `names`, `latest` holds those columns as of the last row by `order`. Measures no caller reads are
     pruned from the plan, so one definition serves every report.
     """
     parts = _measures()
     if names:
         parts.append(newest(order or HOUR_ORDER, names).alias("latest"))
-    return mart.groupBy(*keys).agg(*parts)
+    return mart.groupBy(*keys).agg(*parts, *(extra or []))
 
 
 def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,9 +128,9 @@ def stamp(rows: DataFrame, as_of=None) -> DataFrame:
     return rows.withColumn("etl_processed_at", moment(as_of))
 
 
-def daily_user(mart: DataFrame) -> DataFrame:
+def daily_user(mart: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     """Partials by user and day over all devices: the pre-aggregate behind lists, summaries and fleet reports."""
-    return partials(mart, DAY_KEYS, DAY_NAMES, HOUR_ORDER)
+    return partials(mart, DAY_KEYS, DAY_NAMES, HOUR_ORDER, extra)
 
 
 def touched_days(delta: DataFrame) -> DataFrame:

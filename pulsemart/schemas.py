@@ -14,12 +14,13 @@ _TYPES = {
     "BOOLEAN": T.BooleanType(),
     "DATE": T.DateType(),
     "TIMESTAMP": T.TimestampType(),
+    "WALLCLOCK": T.TimestampNTZType(),
     "MONEY": T.DecimalType(12, 2),
     "STRINGS": T.ArrayType(T.StringType()),
 }
 
 
-def _struct(columns: str) -> T.StructType:
+def struct(columns: str) -> T.StructType:
     """A schema from `name TYPE[!], ...`; `!` marks NOT NULL. Needs no running session, unlike DDL parsing."""
     fields = []
     for column in columns.split(","):
@@ -28,25 +29,25 @@ def _struct(columns: str) -> T.StructType:
     return T.StructType(fields)
 
 
-CUSTOMERS = _struct(
+CUSTOMERS = struct(
     """customer_id INT!, external_id STRING!, first_name STRING!,
        last_name STRING!, middle_name STRING, email STRING!, phone STRING,
        birth_date DATE, region STRING!, branch STRING, created_at TIMESTAMP, updated_at TIMESTAMP"""
 )
 
-MODELS = _struct(
+MODELS = struct(
     """model_id INT!, model_code STRING!, model_name STRING!,
        category STRING!, description STRING, price MONEY!,
        warranty_months INT, is_active BOOLEAN, created_at TIMESTAMP"""
 )
 
-PROSTHESES = _struct(
+PROSTHESES = struct(
     """prosthesis_id INT!, serial_number STRING!, model_id INT!, customer_id INT,
        chip_id STRING, status STRING!, manufactured_date DATE!, sold_date DATE,
        warranty_end_date DATE, firmware_version STRING, created_at TIMESTAMP, updated_at TIMESTAMP"""
 )
 
-RAW_TELEMETRY = _struct(
+RAW_TELEMETRY = struct(
     """telemetry_id BIGINT!, chip_id STRING!, timestamp TIMESTAMP!,
        myo_channel_1 DOUBLE, myo_channel_2 DOUBLE, myo_channel_3 DOUBLE, myo_channel_4 DOUBLE,
        movement_type STRING, movement_intensity DOUBLE, response_time_ms INT, movement_success BOOLEAN,
@@ -57,7 +58,7 @@ RAW_TELEMETRY = _struct(
        session_id STRING, created_at TIMESTAMP"""
 )
 
-HOURLY_STATS = _struct(
+HOURLY_STATS = struct(
     """chip_id STRING!, hour_start TIMESTAMP!, movements_count BIGINT,
        successful_movements BIGINT, avg_response_time DOUBLE, min_response_time INT, max_response_time INT,
        avg_battery_level DOUBLE, min_battery_level INT, max_battery_level INT, avg_actuator_temp DOUBLE,
@@ -65,7 +66,7 @@ HOURLY_STATS = _struct(
        avg_connection_quality DOUBLE, updated_at TIMESTAMP"""
 )
 
-MART = _struct(
+MART = struct(
     """user_id STRING, prosthesis_id BIGINT, chip_id STRING, report_date DATE, report_hour INT,
        customer_name STRING, customer_email STRING, customer_region STRING, customer_branch STRING,
        prosthesis_model STRING, prosthesis_category STRING, prosthesis_serial STRING,
@@ -82,7 +83,7 @@ MART = _struct(
 CHANGE_META = "__op STRING, __table STRING, __source_ts_ms STRING"
 
 CHANGE_MESSAGES = {
-    entity: _struct(", ".join(f"{field.name} STRING" for field in schema.fields) + ", " + CHANGE_META)
+    entity: struct(", ".join(f"{field.name} STRING" for field in schema.fields) + ", " + CHANGE_META)
     for entity, schema in {"customers": CUSTOMERS, "prostheses": PROSTHESES, "models": MODELS}.items()
 }
 
@@ -104,24 +105,24 @@ def change_state(entity: str) -> T.StructType:
     )
 
 
-CUSTOMER_DATA = _struct(
+CUSTOMER_DATA = struct(
     """user_id STRING, customer_id INT, customer_name STRING, customer_email STRING, customer_region STRING,
        customer_branch STRING, prosthesis_id INT, prosthesis_serial STRING, chip_id STRING,
        prosthesis_model STRING, prosthesis_category STRING, firmware_version STRING,
        last_updated_at TIMESTAMP, _version BIGINT"""
 )
 
-CONSENT_EVENTS = _struct(
+CONSENT_EVENTS = struct(
     """id BIGINT!, user_profile_id BIGINT!, client_id STRING!,
        scopes STRINGS!, action STRING!, ip_address STRING, user_agent STRING,
        created_at TIMESTAMP"""
 )
 
-PROFILES = _struct(
+PROFILES = struct(
     """keycloak_user_id STRING!, identity_provider STRING, yandex_id STRING, yandex_login STRING,
        yandex_avatar_id STRING, email STRING, first_name STRING, last_name STRING, display_name STRING,
        phone STRING, avatar_url STRING, consent_given BOOLEAN, consent_given_at TIMESTAMP,
        consent_scopes STRINGS, last_login_at TIMESTAMP"""
 )
 
-PUBLISHED = _struct("kind STRING, bucket INT, object_key STRING, user_id STRING, report_date DATE, page INT, body STRING")
+PUBLISHED = struct("kind STRING, bucket INT, object_key STRING, user_id STRING, report_date DATE, page INT, body STRING")

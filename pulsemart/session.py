@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
 }
 
+# Jobs describe hundreds of columns; recording a Python call site for each costs more than planning them.
+BUILD_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 # Streams keep one row of state per device and hour inside the lookback: on disk, with incremental checkpoints.
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -49,7 +52,7 @@ def build_session(
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in (extra or {}).items():
+    for key, value in {**BUILD_CONF, **(extra or {})}.items():
         builder = builder.config(key, value)
     return prepare(builder.getOrCreate())
 
