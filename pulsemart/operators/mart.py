@@ -35,17 +35,8 @@ MEASURES = [
 
 
 def crm_source(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """`primary` if it has any row, else `fallback`, decided inside the plan.
-
-    The probe is one row by construction (limit 1), so broadcasting it is safe at any scale.
-    """
-    flag = primary.limit(1).select(F.lit(1).alias("_has_rows"))
-    instead = (
-        fallback.withColumn("_has_rows", F.lit(1))
-        .join(F.broadcast(flag), "_has_rows", "left_anti")
-        .select(*primary.columns)
-    )
-    return primary.unionByName(instead)
+    """`primary` if it has any row, else `fallback`, decided inside the plan by probing for one row."""
+    return primary.unionByName(fallback.filter(~primary.limit(1).exists()).select(*primary.columns))
 
 
 def join(telemetry: DataFrame, crm: DataFrame, salt: int = 1) -> DataFrame:

@@ -158,12 +158,12 @@ def daily_document(mart: DataFrame, page_rows: int = defaults.DOCUMENT_PAGE_ROWS
     the joins with it, and the documents cost one shuffle.
     """
     day = rollup.DAY_KEYS
-    by_hour = mart.groupBy(*day, "report_hour").agg(F.count(F.lit(1)).alias("_n"))
+    # the bound on a page holds even if all rows of the day fall into one hour
     big = (
-        by_hour.groupBy(*day)
-        .agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_most"))
+        mart.groupBy(*day)
+        .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > page_rows)
-        .select(*day, F.ceil(F.col("_most") / page_rows).cast("int").alias("_shards"))
+        .select(*day, F.ceil(F.col("_rows") / page_rows).cast("int").alias("_shards"))
     )
     whole = (
         rollup.daily_user(mart.join(big, day, "left_anti"), [_nested_hours()])
