@@ -1,8 +1,8 @@
 """Report documents as keyed JSON rows: build, write, read back, find missing ones, refresh.
 
 An object store keeps one object per report; a distributed table of millions of one-row directories would not
-work, so documents are rows `(object_key, ..., body)` in JSON files, grouped by kind and by a hash bucket of the
-user. A refresh rewrites only the buckets that hold affected users.
+work, so documents are rows `(object_key, ..., body)` in JSON files, grouped by kind, by day (daily reports) and
+by a hash bucket of the user. A refresh rewrites only the days and buckets that hold documents it replaces.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from . import report, upsert
 
 KINDS = ("list", "summary", "daily")
 BUCKETS = 64
-PARTITIONS = ["kind", "bucket"]
-KEYS = ["kind", "object_key"]
+PARTITIONS = ["kind", "day", "bucket"]
+SORT = ["user_id", "object_key"]
+FIELDS = schemas.PUBLISHED.fieldNames()
+# Day of documents that are not about one.
+NO_DAY = "all"
 
 
 def object_key(kind: str) -> Column:
@@ -53,7 +56,7 @@ def documents(mart: DataFrame, kind: str) -> DataFrame:
 
 
 def serialise(docs: DataFrame, kind: str, buckets: int = BUCKETS) -> DataFrame:
-    """Documents as `(kind, bucket, object_key, user_id, report_date, page, body)` rows."""
+    """Documents as `(kind, day, bucket, object_key, user_id, report_date, page, body)` rows."""
     if kind == "daily":
         date, page = F.col("report_date"), F.col("page")
     else:
@@ -61,6 +64,7 @@ def serialise(docs: DataFrame, kind: str, buckets: int = BUCKETS) -> DataFrame:
     content = [c for c in docs.columns if c != "page"]
     return docs.select(
         F.lit(kind).alias("kind"),
+        F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit(NO_DAY)).alias("day"),
         bucket_of(F.col("user_id"), buckets).alias("bucket"),
         object_key(kind).alias("object_key"),
         "user_id",
@@ -78,17 +82,6 @@ def all_documents(mart: DataFrame, kinds=KINDS, buckets: int = BUCKETS) -> DataF
     return result
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Writes serialised documents, replacing the (kind, bucket) directories they fall in."""
-    (
-        upsert.arrange(rows, PARTITIONS, ["user_id", "object_key"])
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITIONS)
-        .json(path)
-    )
-
-
 def read(spark: SparkSession, path: str, kind: str | None = None, user_id: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Published documents; kind and user narrow the scan to single directories."""
     rows = spark.read.schema(schemas.PUBLISHED).json(path)
@@ -117,17 +110,25 @@ def refreshed(mart: DataFrame, users: DataFrame | None, kinds=KINDS, buckets: in
 
 def write_all(mart: DataFrame, path: str, kinds=KINDS, buckets: int = BUCKETS) -> None:
     """Publishes everyone's documents, replacing whatever was there of these kinds."""
+    below = ["day", "bucket"]
     for kind in kinds:
         rows = serialise(documents(mart, kind), kind, buckets).drop("kind")
         (
-            upsert.arrange(rows, ["bucket"], ["user_id", "object_key"])
+            upsert.arrange(rows, below, SORT)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
-            .partitionBy("bucket")
+            .partitionBy(*below)
             .json(f"{path}/kind={kind}")
         )
 
 
+def _replace_documents(spark: SparkSession, path: str, stored: DataFrame, kept: DataFrame, new: DataFrame) -> None:
+    """Rewrites the directories of `stored` and of `new` to hold `kept` and `new`."""
+    hit = stored.select(*PARTITIONS).distinct()
+    rows = kept.select(*FIELDS).unionByName(new.select(*FIELDS))
+    upsert.rewrite_partitions(spark, path, rows, hit, PARTITIONS, SORT, file_format="json")
+
+
 def refresh(
     spark: SparkSession,
     mart: DataFrame,
@@ -136,7 +137,7 @@ def refresh(
     kinds=KINDS,
     buckets: int = BUCKETS,
 ) -> None:
-    """Brings published documents of `users` up to date; without users, of everyone.
+    """Brings all published documents of `users` up to date; without users, of everyone.
 
     Old documents of an affected user all go, so a day deleted from the mart does not stay published. The rest
     of the same buckets is carried over unchanged; other buckets are neither read nor written.
@@ -145,22 +146,54 @@ def refresh(
         write_all(mart, path, kinds, buckets)
         return
     users = users.select("user_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    hit = users.select(bucket_of(F.col("user_id"), buckets).alias("bucket")).distinct()
-    old = (
-        read(spark, path)
-        .filter(F.col("kind").isin(*kinds))
-        .join(hit, "bucket", "left_semi")
-        .join(users, "user_id", "left_anti")
-        .select(*schemas.PUBLISHED.fieldNames())
-    )
-    new = old.unionByName(refreshed(mart, users, kinds, buckets).select(*schemas.PUBLISHED.fieldNames()))
-    new = new.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        write(new, path)
-        # at most one row per directory: those left without any document are removed
-        filled = {(row.kind, row.bucket) for row in new.select("kind", "bucket").distinct().collect()}
-        empty = [(k, r.bucket) for r in hit.collect() for k in kinds if (k, r.bucket) not in filled]
-        upsert.drop_directories(spark, [f"{path}/kind={k}/bucket={b}" for k, b in empty])
+        hit = users.select(bucket_of(F.col("user_id"), buckets).alias("bucket")).distinct()
+        stored = read(spark, path).filter(F.col("kind").isin(*kinds)).join(hit, "bucket", "left_semi")
+        kept = stored.join(users, "user_id", "left_anti")
+        _replace_documents(spark, path, stored, kept, refreshed(mart, users, kinds, buckets))
     finally:
-        new.unpersist()
         users.unpersist()
+
+
+def refresh_load(
+    spark: SparkSession, mart: DataFrame, days: DataFrame, delta: DataFrame, path: str, buckets: int = BUCKETS
+) -> None:
+    """Brings published documents up to date after a load that added or replaced the mart rows in `delta`.
+
+    Lists and summaries of affected users come from the stored user-day partials `days`, daily reports are
+    rebuilt for the loaded user-days only. So neither the whole mart nor the daily reports of other days are
+    read or written, which `refresh` would do.
+    """
+    if not upsert.path_exists(spark, path):
+        write_all(mart, path, buckets=buckets)
+        return
+    keys = ["user_id", "report_date"]
+    pairs = delta.select(*keys).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        users = pairs.select("user_id").distinct()
+        dates = pairs.select("report_date").distinct()
+        of_users = days.join(users, "user_id", "left_semi")
+        touched = mart.join(dates, "report_date", "left_semi").join(pairs, keys, "left_semi")
+        new = (
+            serialise(report.list_document_from(of_users), "list", buckets)
+            .unionByName(serialise(report.user_summary_from(of_users), "summary", buckets))
+            .unionByName(serialise(report.daily_document(touched), "daily", buckets))
+        )
+        bucket = bucket_of(F.col("user_id"), buckets).alias("bucket")
+        places = (
+            pairs.select(F.lit("daily").alias("kind"), F.date_format("report_date", "yyyy-MM-dd").alias("day"), bucket)
+            .unionByName(users.select(F.lit("list").alias("kind"), F.lit(NO_DAY).alias("day"), bucket))
+            .unionByName(users.select(F.lit("summary").alias("kind"), F.lit(NO_DAY).alias("day"), bucket))
+            .distinct()
+        )
+        stored = read(spark, path).join(places, PARTITIONS, "left_semi")
+        is_daily = F.col("kind") == "daily"
+        kept = (
+            stored.filter(is_daily)
+            .join(pairs, keys, "left_anti")
+            .select(*FIELDS)
+            .unionByName(stored.filter(~is_daily).join(users, "user_id", "left_anti").select(*FIELDS))
+        )
+        _replace_documents(spark, path, stored, kept, new)
+    finally:
+        pairs.unpersist()

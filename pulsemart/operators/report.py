@@ -301,7 +301,12 @@ def report_list(
 
 
 def list_document(mart: DataFrame, n: int = defaults.LIST_LIMIT) -> DataFrame:
-    """Report list per user as one nested document: head plus the newest `n` days.
+    """Report list per user as one nested document: head plus the newest `n` days."""
+    return list_document_from(rollup.daily_user(mart), n)
+
+
+def list_document_from(days: DataFrame, n: int = defaults.LIST_LIMIT) -> DataFrame:
+    """Report-list documents from user-day partials.
 
     Hours are merged to days first, so a user brings at most one row per calendar day to the second shuffle;
     ranking and nesting share it.
@@ -314,8 +319,7 @@ def list_document(mart: DataFrame, n: int = defaults.LIST_LIMIT) -> DataFrame:
         day_mask_hours(F.col("hours")).alias("active_hours"),
     )
     return (
-        rollup.daily_user(mart)
-        .withColumn("_rank", F.row_number().over(newest_first))
+        days.withColumn("_rank", F.row_number().over(newest_first))
         .groupBy("user_id")
         .agg(
             F.max(F.struct("report_date", "latest")).alias("_last"),

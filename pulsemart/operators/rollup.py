@@ -137,10 +137,10 @@ def touched_days(delta: DataFrame) -> DataFrame:
     return delta.select("report_date").distinct()
 
 
-def refresh(mart: DataFrame, delta: DataFrame) -> DataFrame:
-    """Rollup partials of the days a load touched, recomputed from the mart.
+def refresh(mart: DataFrame, delta: DataFrame, how=daily_partials) -> DataFrame:
+    """Rollup partials (by `how`) of the days a load touched, recomputed from the mart.
 
     Recomputing whole days keeps the rollup right when hours are loaded again, which adding the delta would not;
     the semi-join prunes the mart scan to the touched date partitions.
     """
-    return daily_partials(mart.join(touched_days(delta), "report_date", "left_semi"))
+    return how(mart.join(touched_days(delta), "report_date", "left_semi"))

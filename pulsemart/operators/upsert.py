@@ -140,7 +140,9 @@ def arrange(df: DataFrame, partitions: list[str], sort: list[str]) -> DataFrame:
     return df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *sort)
 
 
-def overwrite_partitions(df: DataFrame, path: str, partitions: list[str], sort: list[str], options=None) -> None:
+def overwrite_partitions(
+    df: DataFrame, path: str, partitions: list[str], sort: list[str], options=None, file_format: str = "parquet"
+) -> None:
     """Replaces exactly the partitions `df` holds rows for. A rerun writes the same files again; a failed run
     leaves the old ones, since files are staged by the writer and moved at commit."""
     (
@@ -149,7 +151,8 @@ def overwrite_partitions(df: DataFrame, path: str, partitions: list[str], sort:
         .option("partitionOverwriteMode", "dynamic")
         .options(**(options or {}))
         .partitionBy(*partitions)
-        .parquet(path)
+        .format(file_format)
+        .save(path)
     )
 
 
@@ -197,6 +200,7 @@ def rewrite_partitions(
     partitions: list[str],
     sort: list[str],
     options: dict[str, str] | None = None,
+    file_format: str = "parquet",
 ) -> None:
     """Makes `rows` the whole content of the partitions listed in `hit`.
 
@@ -206,7 +210,7 @@ def rewrite_partitions(
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         emptied = hit.distinct().join(rows.select(*partitions).distinct(), partitions, "left_anti").collect()
-        overwrite_partitions(rows, path, partitions, sort, options)
+        overwrite_partitions(rows, path, partitions, sort, options, file_format)
     finally:
         rows.unpersist()
     drop_directories(spark, [f"{path}/" + "/".join(f"{p}={row[p]}" for p in partitions) for row in emptied])

@@ -14,7 +14,6 @@ from ..operators import crm, hourly, mart, monitor, publish, rollup, upsert
 from ..sources import mart_store
 
 HOURLY_KEYS = ["chip_id", "hour_start"]
-ROLLUP_SORT = ["user_id", "prosthesis_id"]
 
 
 def load_hourly(
@@ -46,11 +45,12 @@ def load_mart(
     mart_path: str,
     as_of: dt.datetime,
     rollup_path: str | None = None,
+    days_path: str | None = None,
     documents_path: str | None = None,
     replace: bool = True,
     since: dt.datetime | None = None,
 ) -> dict:
-    """Joins hourly statistics with their owners and loads them, then brings rollup and documents up to date.
+    """Joins hourly statistics with their owners and loads them, then brings rollups and documents up to date.
 
     Everything after the write reads the written rows back by their stamp instead of computing them again; `since`
     bounds that scan to the dates of the load.
@@ -68,13 +68,14 @@ def load_mart(
     if not counters.records_count:
         return {"records_loaded": 0, "affected_users": 0, "status": "no_data"}
     whole = mart_store.scan(spark, mart_path)
-    if rollup_path:
-        touched = rollup.touched_days(delta)
-        upsert.rewrite_partitions(
-            spark, rollup_path, rollup.stamp(rollup.refresh(whole, delta), as_of), touched, ["report_date"], ROLLUP_SORT
-        )
+    touched = rollup.touched_days(delta)
+    for path, how in ((rollup_path, rollup.daily_partials), (days_path, rollup.daily_user)):
+        if path:
+            rows = rollup.stamp(rollup.refresh(whole, delta, how), as_of)
+            upsert.rewrite_partitions(spark, path, rows, touched, ["report_date"], ["user_id"])
     if documents_path:
-        publish.refresh(spark, whole, documents_path, publish.affected(delta))
+        days = spark.read.parquet(days_path) if days_path else rollup.daily_user(whole)
+        publish.refresh_load(spark, whole, days, delta, documents_path)
     return {
         "records_loaded": counters.records_count,
         "affected_users": counters.unique_users,

@@ -125,4 +125,4 @@ PROFILES = struct(
        consent_scopes STRINGS, last_login_at TIMESTAMP"""
 )
 
-PUBLISHED = struct("kind STRING, bucket INT, object_key STRING, user_id STRING, report_date DATE, page INT, body STRING")
+PUBLISHED = struct("kind STRING, day STRING, bucket INT, object_key STRING, user_id STRING, report_date DATE, page INT, body STRING")

@@ -24,7 +24,7 @@ def shown(df, *drop):
 
 def test_batch_load_end_to_end(spark, path):
     raw = generator.raw_samples(crm_tables(spark)["prostheses"].filter("chip_id <> ''").select("chip_id"), "2024-03-07")
-    targets = {"rollup_path": path + "/rollup", "documents_path": path + "/docs"}
+    targets = {"rollup_path": path + "/rollup", "days_path": path + "/days", "documents_path": path + "/docs"}
     loads.load_hourly(spark, raw, path + "/hourly", AS_OF)
     # sampling starts on 1 March, the lookback reaches back to it
     assert loads.read_hourly(spark, path + "/hourly").count() == 6 * 7 * 15
@@ -39,6 +39,7 @@ def test_batch_load_end_to_end(spark, path):
     first = shown(mart, "etl_processed_at")
     stored = rollup.finish_daily(spark.read.parquet(path + "/rollup"))
     assert shown(stored, "avg_response_time") == shown(rollup.daily(mart), "avg_response_time")
+    assert spark.read.parquet(path + "/days").count() == 3 * 7
     docs = shown(publish.read(spark, path + "/docs"))
     assert len(docs) == 3 * (7 + 2)
 
@@ -53,6 +54,26 @@ def test_batch_load_end_to_end(spark, path):
     assert shown(stored, "avg_response_time") == shown(rollup.daily(again), "avg_response_time")
 
 
+def test_documents_after_a_load_equal_documents_built_anew(spark, path):
+    rows = seeds.mart(
+        spark, [seeds.mart_row(u, d, dt.date(2024, 3, day), h) for u, d in (("ada", 1), ("ben", 2)) for day in (1, 2, 3) for h in (8, 9)]
+    ).drop("etl_processed_at")
+    mart_store.load(spark, rows, path + "/mart", AS_OF)
+    publish.refresh_load(spark, rows, rollup.daily_user(rows), rows, path + "/docs", buckets=2)
+    old = shown(publish.read(spark, path + "/docs"))
+    # one day of one user is loaded again with other values, and a new user appears
+    again = rows.filter("user_id = 'ada' and report_date = '2024-03-02'").withColumn("error_count", rows.error_count + 4)
+    fresh = seeds.mart(spark, [seeds.mart_row("cleo", 3, dt.date(2024, 3, 4), 8)]).drop("etl_processed_at")
+    delta = again.unionByName(fresh)
+    mart_store.load(spark, delta, path + "/mart", AS_OF + dt.timedelta(minutes=15))
+    whole = mart_store.scan(spark, path + "/mart")
+    for _ in range(2):
+        publish.refresh_load(spark, whole, rollup.daily_user(whole), delta, path + "/docs", buckets=2)
+        now = shown(publish.read(spark, path + "/docs"))
+        assert now == shown(publish.all_documents(whole, buckets=2).select(*publish.FIELDS))
+        assert now != old
+
+
 def test_append_mode_counts_twice(spark, path):
     stats = hourly.aggregate(seeds.raw(spark), "2024-03-05 12:00:00")
     from pulsemart.operators import crm
