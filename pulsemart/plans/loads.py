@@ -71,7 +71,9 @@ def load_mart(
     touched = rollup.touched_days(delta)
     for path, how in ((rollup_path, rollup.daily_partials), (days_path, rollup.daily_user)):
         if path:
-            rows = rollup.stamp(rollup.refresh(whole, delta, how), as_of)
+            # a rollup kept for the first time has to cover what the mart held before
+            known = upsert.path_exists(spark, path)
+            rows = rollup.stamp(rollup.refresh(whole, delta, how) if known else how(whole), as_of)
             upsert.rewrite_partitions(spark, path, rows, touched, ["report_date"], ["user_id"])
     if documents_path:
         days = spark.read.parquet(days_path) if days_path else rollup.daily_user(whole)

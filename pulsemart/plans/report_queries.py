@@ -379,10 +379,16 @@ def scoped_usage(spark, folder):
     customers = st.customers(spark, folder)
     branch = customers.select(F.col("branch").alias("principal"), F.col("external_id").alias("user_id"))
     own = customers.select(F.col("external_id").alias("principal"), F.col("external_id").alias("user_id"))
+    # one row per user before rows are repeated for every principal who may see them
+    users = (
+        _mart(spark, folder)
+        .groupBy("user_id")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("movements_count").alias("movements"))
+    )
     return (
-        report.scope_each(_mart(spark, folder), branch.unionByName(own))
+        report.scope_each(users, branch.unionByName(own))
         .groupBy("principal")
-        .agg(F.count(F.lit(1)).alias("visible_rows"), F.sum("movements_count").alias("total_movements"))
+        .agg(F.sum("rows").alias("visible_rows"), F.sum("movements").alias("total_movements"))
     )
 
 

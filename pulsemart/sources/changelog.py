@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOPICS = {"customers": "crm.customers", "prostheses": "crm.prostheses", "models": "crm.prosthesis_models"}
 
 
-def kafka_options(servers: str, entity: str, max_offsets: int | None = None, topics: dict[str, str] = TOPICS) -> dict[str, str]:
+def kafka_options(
+    servers: str,
+    entity: str,
+    max_offsets: int | None = None,
+    min_partitions: int | None = None,
+    topics: dict[str, str] = TOPICS,
+) -> dict[str, str]:
     """Reader options. Starting at the earliest offset takes in the initial snapshot (operation `r`) before the
-    changes, from the same topic."""
+    changes, from the same topic. `min_partitions` splits topics of few partitions over more reading tasks."""
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topics[entity],
@@ -19,12 +27,17 @@ def kafka_options(servers: str, entity: str, max_offsets: int | None = None, top
     }
     if max_offsets:
         options["maxOffsetsPerTrigger"] = str(max_offsets)
+    if min_partitions:
+        options["minPartitions"] = str(min_partitions)
     return options
 
 
-def kafka_stream(spark: SparkSession, servers: str, entity: str, max_offsets: int | None = None) -> DataFrame:
+def kafka_stream(
+    spark: SparkSession, servers: str, entity: str, max_offsets: int | None = None, min_partitions: int | None = None
+) -> DataFrame:
     """Messages of an entity's topic as (value, seq). Needs the Kafka connector on the class path."""
-    rows = spark.readStream.format("kafka").options(**kafka_options(servers, entity, max_offsets)).load()
+    options = kafka_options(servers, entity, max_offsets, min_partitions)
+    rows = spark.readStream.format("kafka").options(**options).load()
     return rows.select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"))
 
 
@@ -41,3 +54,21 @@ def file_stream(spark: SparkSession, folder: str, max_files: int | None = None)
 
 def file_batch(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder).select("value", F.lit(None).cast("long").alias("seq"))
+
+
+def kafka_progress(progress: dict) -> list[tuple[str, int, int, int]]:
+    """(topic, partition, end_offset, committed_offset) rows from a stream's last progress report, the input of
+    `monitor.lag`. There is one row per topic partition."""
+    rows = []
+    for source in progress.get("sources", []):
+        latest, done = _offsets(source.get("latestOffset")), _offsets(source.get("endOffset"))
+        for topic, partitions in latest.items():
+            for partition, end in partitions.items():
+                rows.append((topic, int(partition), int(end), int(done.get(topic, {}).get(partition, 0))))
+    return rows
+
+
+def _offsets(value) -> dict:
+    if isinstance(value, str):
+        value = json.loads(value)
+    return value if isinstance(value, dict) else {}

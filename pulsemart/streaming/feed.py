@@ -36,23 +36,32 @@ def bucket(keys: list[str], buckets: int):
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def write_dead_letters(decoded: DataFrame, batch_id: int, path: str) -> None:
+    """Messages that could not be decoded, under the batch's number; a replay writes the same rows again."""
+    _, bad = cdc.split_corrupt(decoded)
+    upsert.overwrite_partitions(bad.withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"], [])
+
+
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    fields = [("value", T.StringType()), ("_seq", T.LongType()), (cdc.REASON, T.StringType()), ("batch_id", T.LongType())]
+    return spark.read.schema(T.StructType([T.StructField(n, t) for n, t in fields])).parquet(path)
+
+
 # -- log ---------------------------------------------------------------------------------------------------
 
 
 def write_log_batch(batch: DataFrame, batch_id: int, entity: str, log_path: str, dead_path: str, max_broken: int | None = None) -> None:
     """One batch of messages into the log, broken ones into the dead-letter table, under the batch's number."""
-    decoded = cdc.decode(batch, entity).withColumn("batch_id", F.lit(batch_id).cast("long")).persist(StorageLevel.MEMORY_AND_DISK)
+    decoded = cdc.decode(batch, entity).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        reason = F.col(cdc.REASON)
+        good, bad = cdc.split_corrupt(decoded)
         if max_broken is not None:
-            broken = decoded.filter(reason.isNotNull()).count()
+            broken = bad.count()
             if broken > max_broken:
                 raise TooManyBrokenMessages(f"{broken} broken messages of {entity} in batch {batch_id}, {max_broken} allowed")
-        good = decoded.filter(reason.isNull()).drop(cdc.REASON, "value")
-        bad = decoded.filter(reason.isNotNull()).select("value", "_seq", cdc.REASON, "batch_id")
-        keys = schemas.CHANGE_KEYS[entity]
-        upsert.overwrite_partitions(good, log_path, ["batch_id"], keys)
-        upsert.overwrite_partitions(bad, dead_path, ["batch_id"], [])
+        rows = good.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        upsert.overwrite_partitions(rows, log_path, ["batch_id"], schemas.CHANGE_KEYS[entity])
+        write_dead_letters(decoded, batch_id, dead_path)
     finally:
         decoded.unpersist()
 
@@ -119,12 +128,24 @@ def read_state(spark: SparkSession, path: str, entity: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).drop("bucket")
 
 
-def keep_state(messages: DataFrame, entity: str, path: str, checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+def keep_state(
+    messages: DataFrame,
+    entity: str,
+    path: str,
+    dead_path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    buckets: int = BUCKETS,
+) -> StreamingQuery:
     """Continuously kept current state of one entity."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, _ = cdc.split_corrupt(cdc.decode(batch, entity))
-        apply_state(batch.sparkSession, good, entity, path, buckets)
+        decoded = cdc.decode(batch, entity).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            apply_state(batch.sparkSession, cdc.split_corrupt(decoded)[0], entity, path, buckets)
+            write_dead_letters(decoded, batch_id, dead_path)
+        finally:
+            decoded.unpersist()
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or EVERY_QUARTER_HOUR)).start()
 
@@ -154,16 +175,19 @@ def read_dimension(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/customer_data").drop("bucket")
 
 
-def apply_feed_batch(batch: DataFrame, root: str, buckets: int = BUCKETS) -> None:
+def apply_feed_batch(batch: DataFrame, batch_id: int, root: str, buckets: int = BUCKETS) -> None:
     """One mixed batch: state of each entity first, then the dimension rows of the devices it affects."""
     spark = batch.sparkSession
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    decoded = {
+        entity: cdc.decode(batch.filter(F.col("entity") == entity), entity).persist(StorageLevel.MEMORY_AND_DISK)
+        for entity in ENTITIES
+    }
     try:
         changed = {}
         for entity in ENTITIES:
-            good, _ = cdc.split_corrupt(cdc.decode(batch.filter(F.col("entity") == entity), entity))
-            apply_state(spark, good, entity, f"{root}/state/{entity}", buckets)
-            changed[entity] = good
+            changed[entity], _ = cdc.split_corrupt(decoded[entity])
+            apply_state(spark, changed[entity], entity, f"{root}/state/{entity}", buckets)
+            write_dead_letters(decoded[entity], batch_id, f"{root}/dead/{entity}")
         now = {e: upsert.live(read_state(spark, f"{root}/state/{e}", e)) for e in ENTITIES}
         hit_keys = cdc.affected_devices(now["prostheses"], changed).persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -181,13 +205,14 @@ def apply_feed_batch(batch: DataFrame, root: str, buckets: int = BUCKETS) -> Non
         finally:
             hit_keys.unpersist()
     finally:
-        batch.unpersist()
+        for rows in decoded.values():
+            rows.unpersist()
 
 
 def keep_dimension(streams: dict[str, DataFrame], root: str, checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Continuously kept states and customer dimension below `root`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        apply_feed_batch(batch, root, buckets)
+        apply_feed_batch(batch, batch_id, root, buckets)
 
     return tagged(streams).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or EVERY_QUARTER_HOUR)).start()

@@ -246,9 +246,10 @@ def test_state_does_not_depend_on_batches(spark, path, order):
 
 
 def test_stream_state(spark, path):
-    write_messages(path + "/in", "customers", "a", LOG)
+    write_messages(path + "/in", "customers", "a", LOG + ["{broken"])
     stream = changelog.file_stream(spark, path + "/in/customers")
-    drain(feed.keep_state(stream, "customers", path + "/state", path + "/cp", DRAIN_ONCE, buckets=2))
+    drain(feed.keep_state(stream, "customers", path + "/state", path + "/dead", path + "/cp", DRAIN_ONCE, buckets=2))
+    assert [r.value for r in feed.read_dead_letters(spark, path + "/dead").collect()] == ["{broken"]
     live = upsert.live(feed.read_state(spark, path + "/state", "customers"))
     assert {r.customer_id for r in live.collect()} == {1, 3, 4}
 
@@ -275,20 +276,27 @@ def test_stream_dimension(spark, path):
     assert rows[(2,)].customer_name == "Moved F" and rows[(2,)]._version == 6
     # deleted customer, retired device
     write_messages(path + "/in", "customers", "3", [customer(1, "d", 9)])
-    write_messages(path + "/in", "prostheses", "3", [device(3, "u", 9, status="retired")])
+    write_messages(path + "/in", "prostheses", "3", [device(3, "u", 9, status="retired"), "{broken"])
     rows = run()
     assert set(rows) == {(2,)}
+    assert [r._reason for r in spark.read.parquet(f"{root}/dead/prostheses").collect()] == ["malformed"]
     state = {e: feed.read_state(spark, f"{root}/state/{e}", e) for e in feed.ENTITIES}
     anew = cdc.customer_data(state["customers"], state["prostheses"], state["models"])
     assert sorted(map(str, anew.collect())) == sorted(map(str, rows.values()))
 
 
 def test_kafka_options():
-    options = changelog.kafka_options("broker:9092", "models", max_offsets=1000)
+    options = changelog.kafka_options("broker:9092", "models", max_offsets=1000, min_partitions=64)
+    assert options["minPartitions"] == "64"
     assert options["subscribe"] == "crm.prosthesis_models"
     assert options["startingOffsets"] == "earliest" and options["maxOffsetsPerTrigger"] == "1000"
 
 
+def test_lag_rows_from_stream_progress():
+    progress = {"sources": [{"endOffset": {"t": {"0": 5, "1": 7}}, "latestOffset": '{"t": {"0": 9, "1": 7}}'}, {"endOffset": None}]}
+    assert changelog.kafka_progress(progress) == [("t", 0, 9, 5), ("t", 1, 7, 7)]
+
+
 def test_change_load_falls_back_to_the_view(spark, path):
     as_of = dt.datetime(2024, 3, 5, 12)
     loads.load_hourly(spark, seeds.raw(spark), path + "/hourly", as_of)
