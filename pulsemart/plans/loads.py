@@ -47,6 +47,7 @@ def load_mart(
     rollup_path: str | None = None,
     days_path: str | None = None,
     documents_path: str | None = None,
+    document_buckets: int = publish.BUCKETS,
     replace: bool = True,
     since: dt.datetime | None = None,
 ) -> dict:
@@ -77,7 +78,7 @@ def load_mart(
             upsert.rewrite_partitions(spark, path, rows, touched, ["report_date"], ["user_id"])
     if documents_path:
         days = spark.read.parquet(days_path) if days_path else rollup.daily_user(whole)
-        publish.refresh_load(spark, whole, days, delta, documents_path)
+        publish.refresh_load(spark, whole, days, delta, documents_path, document_buckets)
     return {
         "records_loaded": counters.records_count,
         "affected_users": counters.unique_users,
@@ -105,3 +106,25 @@ def change_load(spark: SparkSession, hourly_path: str, dimension: DataFrame, fal
     view = fallback.withColumnRenamed("customer_full_name", "customer_name").select(*columns)
     owners = mart.crm_source(primary, view)
     return load_mart(spark, read_hourly(spark, hourly_path, since), owners, mart_path, as_of, since=since, **targets)
+
+
+def apply_retention(
+    spark: SparkSession,
+    as_of: dt.datetime,
+    mart_path: str | None = None,
+    rollup_paths: tuple[str, ...] = (),
+    hourly_path: str | None = None,
+) -> int:
+    """Drops what is past its retention, whole date partitions at a time; returns how many.
+
+    Only partition values and row counts of file footers are read.
+    """
+    jobs = [(mart_path, mart_store.PARTITIONS, defaults.MART_RETENTION_DAYS)] if mart_path else []
+    jobs += [(path, ["report_date"], defaults.MART_RETENTION_DAYS) for path in rollup_paths]
+    jobs += [(hourly_path, ["report_date"], defaults.RAW_RETENTION_DAYS)] if hourly_path else []
+    types = {"report_month": T.IntegerType(), "report_date": T.DateType()}
+    dropped = 0
+    for path, partitions, days in jobs:
+        schema = T.StructType([T.StructField(p, types[p]) for p in partitions])
+        dropped += upsert.drop_expired(spark, path, schema, partitions, "report_date", days, as_of)
+    return dropped

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators import cdc, upsert
-from .triggers import EVERY_QUARTER_HOUR
+from .triggers import start
 
 BUCKETS = 64
 # Lookups by chip and by external id skip row groups.
@@ -71,7 +71,7 @@ def ingest(
     entity: str,
     log_path: str,
     dead_path: str,
-    checkpoint: str,
+    checkpoint: str | None = None,
     trigger: dict | None = None,
     max_broken: int | None = None,
 ) -> StreamingQuery:
@@ -81,7 +81,7 @@ def ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         write_log_batch(batch, batch_id, entity, log_path, dead_path, max_broken)
 
-    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or EVERY_QUARTER_HOUR)).start()
+    return start(messages, write, f"ingest-{entity}", checkpoint, trigger)
 
 
 def read_log(spark: SparkSession, log_path: str, entity: str) -> DataFrame:
@@ -133,7 +133,7 @@ def keep_state(
     entity: str,
     path: str,
     dead_path: str,
-    checkpoint: str,
+    checkpoint: str | None = None,
     trigger: dict | None = None,
     buckets: int = BUCKETS,
 ) -> StreamingQuery:
@@ -147,7 +147,7 @@ def keep_state(
         finally:
             decoded.unpersist()
 
-    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or EVERY_QUARTER_HOUR)).start()
+    return start(messages, write, f"state-{entity}", checkpoint, trigger)
 
 
 # -- customer dimension ------------------------------------------------------------------------------------
@@ -209,10 +209,16 @@ def apply_feed_batch(batch: DataFrame, batch_id: int, root: str, buckets: int =
             rows.unpersist()
 
 
-def keep_dimension(streams: dict[str, DataFrame], root: str, checkpoint: str, trigger: dict | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+def keep_dimension(
+    streams: dict[str, DataFrame],
+    root: str,
+    checkpoint: str | None = None,
+    trigger: dict | None = None,
+    buckets: int = BUCKETS,
+) -> StreamingQuery:
     """Continuously kept states and customer dimension below `root`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         apply_feed_batch(batch, batch_id, root, buckets)
 
-    return tagged(streams).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or EVERY_QUARTER_HOUR)).start()
+    return start(tagged(streams), write, "customer-dimension", checkpoint, trigger)

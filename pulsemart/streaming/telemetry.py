@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import defaults, schemas
 from ..functions.times import moment
 from ..operators import hourly, rollup, upsert
-from .triggers import EVERY_QUARTER_HOUR
+from .triggers import start
 
 HOURLY_KEYS = ["chip_id", "hour_start"]
 
@@ -32,7 +32,7 @@ def _measure_names() -> list[str]:
 def keep_hourly(
     raw: DataFrame,
     path: str,
-    checkpoint: str,
+    checkpoint: str | None = None,
     as_of=None,
     lookback_hours: int = defaults.BATCH_LOOKBACK_HOURS,
     trigger: dict | None = None,
@@ -43,14 +43,7 @@ def keep_hourly(
         rows = batch.withColumn("updated_at", moment(as_of)).withColumn("report_date", F.to_date("hour_start"))
         upsert.upsert_into(batch.sparkSession, path, rows, HOURLY_KEYS, ["report_date"], HOURLY_KEYS, order=["updated_at"])
 
-    return (
-        hourly_windows(raw, lookback_hours)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or EVERY_QUARTER_HOUR))
-        .start()
-    )
+    return start(hourly_windows(raw, lookback_hours), write, "hourly", checkpoint, trigger, mode="update")
 
 
 def daily_windows(mart: DataFrame, lookback_hours: int = defaults.BATCH_LOOKBACK_HOURS) -> DataFrame:
@@ -70,7 +63,7 @@ def daily_windows(mart: DataFrame, lookback_hours: int = defaults.BATCH_LOOKBACK
 def keep_daily(
     mart: DataFrame,
     path: str,
-    checkpoint: str,
+    checkpoint: str | None = None,
     as_of=None,
     lookback_hours: int = defaults.BATCH_LOOKBACK_HOURS,
     trigger: dict | None = None,
@@ -84,11 +77,4 @@ def keep_daily(
             batch.sparkSession, path, rows, rollup.DAILY_KEYS, ["report_date"], ["user_id", "prosthesis_id"], order=["hour_rows"]
         )
 
-    return (
-        daily_windows(mart, lookback_hours)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or EVERY_QUARTER_HOUR))
-        .start()
-    )
+    return start(daily_windows(mart, lookback_hours), write, "daily", checkpoint, trigger, mode="update")

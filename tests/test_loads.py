@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 import seeds
 
-from pulsemart.operators import hourly, monitor, publish, rollup
+from pulsemart.operators import hourly, monitor, publish, rollup, upsert
 from pulsemart.plans import loads
 from pulsemart.sources import generator, mart_store, tables
 from pulsemart.streaming import telemetry
@@ -74,6 +74,16 @@ def test_documents_after_a_load_equal_documents_built_anew(spark, path):
         assert now != old
 
 
+def test_retention(spark, path):
+    rows = seeds.mart(spark, [seeds.mart_row("a", 1, d, 8) for d in (dt.date(2023, 3, 8), dt.date(2023, 3, 9), dt.date(2024, 3, 8))])
+    mart_store.load(spark, rows.drop("etl_processed_at"), path + "/mart", AS_OF)
+    upsert.overwrite_partitions(rollup.daily_user(rows), path + "/days", ["report_date"], ["user_id"])
+    # 365 days after 9 March 2023 is 8 March 2024: that day is over its term, like the one before
+    assert loads.apply_retention(spark, AS_OF, path + "/mart", (path + "/days",)) == 4
+    assert [r.report_date for r in mart_store.scan(spark, path + "/mart").collect()] == [dt.date(2024, 3, 8)]
+    assert loads.apply_retention(spark, AS_OF, path + "/mart", (path + "/days",)) == 0
+
+
 def test_append_mode_counts_twice(spark, path):
     stats = hourly.aggregate(seeds.raw(spark), "2024-03-05 12:00:00")
     from pulsemart.operators import crm
@@ -137,7 +147,7 @@ def test_stream_daily_equals_batch(spark, path):
 
     def run():
         stream = spark.readStream.schema(rows.schema).parquet(path + "/mart")
-        assert telemetry.keep_daily(stream, path + "/daily", path + "/cp", trigger=DRAIN_ONCE).awaitTermination(240)
+        assert telemetry.keep_daily(stream, path + "/daily", trigger=DRAIN_ONCE).awaitTermination(240)
 
     rows.filter("report_hour < 13").write.mode("append").parquet(path + "/mart")
     run()
