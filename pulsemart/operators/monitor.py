@@ -21,7 +21,7 @@ def _key_states(log: DataFrame, entity: str) -> DataFrame:
     """Newest version and its delete flag per key: narrow, so the status never moves whole rows."""
     keys = schemas.CHANGE_KEYS[entity]
     newest = F.max(F.struct(*VERSION_ORDER, "_deleted"))
-    return log.groupBy(*keys).agg(newest.alias("_n")).select(F.col("_n._version").alias("_version"), F.col("_n._deleted").alias("_deleted"))
+    return log.groupBy(*keys).agg(newest.alias("_n")).select("_n._version", "_n._deleted")
 
 
 def _each(logs: dict[str, DataFrame], one) -> DataFrame:

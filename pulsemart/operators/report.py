@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from .. import defaults
 from ..functions import day_mask_hours, stable_round, success_rate
-from ..functions.times import moment
 from . import rollup
 from .rollup import mean
 
@@ -170,7 +169,9 @@ def daily_document(mart: DataFrame, page_rows: int = defaults.DOCUMENT_PAGE_ROWS
         .select(*_detail_columns(), "hourly_stats")
         .withColumn("page", F.lit(0))
     )
-    shard = F.pmod(F.xxhash64("prosthesis_id"), F.col("_shards")).cast("int")
+    # hours of one device loaded more than once differ in their stamp and spread as well
+    spread = ["prosthesis_id", *[c for c in ("etl_processed_at",) if c in mart.columns]]
+    shard = F.pmod(F.xxhash64(*spread), F.col("_shards")).cast("int")
     page = F.lit(1) + F.col("report_hour") * F.col("_shards") + shard
     pages = (
         mart.join(big, day).withColumn("page", page.cast("int")).groupBy(*day, "page").agg(_nested_hours())

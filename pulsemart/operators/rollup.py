@@ -66,8 +66,8 @@ def partials(
 ) -> DataFrame:
     """Mergeable daily measures of mart rows by `keys`.
 
-    `extra` aggregates share the same shuffle. With `names`, `latest` holds those columns as of the last row by `order`. Measures no caller reads are
-    pruned from the plan, so one definition serves every report.
+    With `names`, `latest` holds those columns as of the last row by `order`; `extra` aggregates share the same
+    shuffle. Measures no caller reads are pruned from the plan, so one definition serves every report.
     """
     parts = _measures()
     if names:

@@ -88,7 +88,9 @@ def load_mart(
     }
 
 
-def batch_load(spark: SparkSession, hourly_path: str, customers: dict[str, DataFrame], mart_path: str, as_of: dt.datetime, **targets) -> dict:
+def batch_load(
+    spark: SparkSession, hourly_path: str, customers: dict[str, DataFrame], mart_path: str, as_of: dt.datetime, **targets
+) -> dict:
     """The regular load: customer side from the customer database, long lookback."""
     since = as_of - dt.timedelta(hours=defaults.BATCH_LOOKBACK_HOURS)
     owners = crm.mart_source(
@@ -97,7 +99,15 @@ def batch_load(spark: SparkSession, hourly_path: str, customers: dict[str, DataF
     return load_mart(spark, read_hourly(spark, hourly_path, since), owners, mart_path, as_of, since=since, **targets)
 
 
-def change_load(spark: SparkSession, hourly_path: str, dimension: DataFrame, fallback: DataFrame, mart_path: str, as_of: dt.datetime, **targets) -> dict:
+def change_load(
+    spark: SparkSession,
+    hourly_path: str,
+    dimension: DataFrame,
+    fallback: DataFrame,
+    mart_path: str,
+    as_of: dt.datetime,
+    **targets,
+) -> dict:
     """The change-fed load: customer side from the kept dimension, or from the view while that is empty, and a
     short lookback."""
     since = as_of - dt.timedelta(hours=defaults.CHANGE_LOOKBACK_HOURS)

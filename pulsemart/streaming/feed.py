@@ -50,7 +50,9 @@ def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
 # -- log ---------------------------------------------------------------------------------------------------
 
 
-def write_log_batch(batch: DataFrame, batch_id: int, entity: str, log_path: str, dead_path: str, max_broken: int | None = None) -> None:
+def write_log_batch(
+    batch: DataFrame, batch_id: int, entity: str, log_path: str, dead_path: str, max_broken: int | None = None
+) -> None:
     """One batch of messages into the log, broken ones into the dead-letter table, under the batch's number."""
     decoded = cdc.decode(batch, entity).persist(StorageLevel.MEMORY_AND_DISK)
     try:

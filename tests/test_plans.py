@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 import re
 
@@ -105,6 +106,19 @@ def test_loads_write_even_sorted_files(spark):
     assert "Sort [report_month" in text
 
 
+def test_a_huge_day_is_written_by_many_tasks(spark, path):
+    rows = spark.range(400_000).selectExpr("uuid() v", "id u", "if(id % 10 = 0, date'2024-03-01', date'2024-03-02') d")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        upsert.overwrite_partitions(rows, path + "/t", ["d"], ["u"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = {d: len([f for f in os.listdir(f"{path}/t/{d}") if f.endswith(".parquet")]) for d in ("d=2024-03-01", "d=2024-03-02")}
+    assert files["d=2024-03-02"] >= 4 and files["d=2024-03-01"] < files["d=2024-03-02"]
+    assert spark.read.parquet(path + "/t").count() == 400_000
+
+
 # -- hot keys: one key holds a third of all rows -----------------------------------------------------------
 
 

@@ -5,8 +5,6 @@ import datetime as dt
 import seeds
 
 from pulsemart.operators import cdc, monitor, quality
-from pulsemart.plans import catalog  # noqa: F401
-from pulsemart.sources import sample_tables  # noqa: F401
 
 D = dt.date(2024, 3, 5)
 

@@ -7,7 +7,6 @@ import pytest
 import seeds
 
 from pulsemart.operators import profiles, publish, report, rollup
-from pulsemart.plans import loads  # noqa: F401
 from pulsemart.sources import generator, mart_store
 
 D1, D2, D3 = dt.date(2024, 3, 5), dt.date(2024, 3, 6), dt.date(2024, 3, 9)
