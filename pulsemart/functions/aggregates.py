@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 # Half of the last of nine digits: more than float noise reaches, less than any report shows.
 NOISE = 5e-10
-# Beyond this, scaling could leave the range of whole numbers; such values are rounded the slow way.
-PLAIN_LIMIT = 1e12
+NOISE_DIGITS = 9
+# Up to here the noise allowance exceeds the error of scaling a double; larger values are rounded the slow way.
+PLAIN_LIMIT = 1e6
 
 
 def stable_round(value: Column, digits: int) -> Column:
@@ -21,7 +22,8 @@ def stable_round(value: Column, digits: int) -> Column:
     scale = 10.0**digits
     magnitude = F.floor(F.abs(value) * scale + (0.5 + NOISE * scale)).cast("double") / scale
     # adding zero turns a negative zero into a plain one
-    return F.when(F.abs(value) < PLAIN_LIMIT, F.signum(value) * magnitude + 0.0).otherwise(F.round(value, digits))
+    plain = F.signum(value) * magnitude + 0.0
+    return F.when(F.abs(value) < PLAIN_LIMIT, plain).otherwise(F.round(F.round(value, NOISE_DIGITS), digits))
 
 
 def hours_mask(hour: Column) -> Column:

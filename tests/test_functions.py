@@ -36,8 +36,14 @@ def test_ties_round_up_despite_noise(spark):
     assert str(got[5]) == "0.0"
 
 
-@settings(max_examples=20, deadline=None)
-@given(st.lists(st.integers(-(10**12), 10**12), min_size=1, max_size=30), st.sampled_from([1, 2, 6]))
+def test_large_ties(spark):
+    values = [270664135.335, 999999.995, 1000000.005, -270664135.335]
+    got = results(column(spark, values, "double"), stable_round(F.col("x"), 2))
+    assert got == [270664135.34, 1000000.0, 1000000.01, -270664135.34]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-(10**12), 10**12) | st.integers(-(10**9), 10**9), min_size=1, max_size=30), st.sampled_from([1, 2, 6]))
 def test_rounding_against_decimals(spark, thousandths, digits):
     values = [t / 1000 for t in thousandths]
     step = decimal.Decimal(1).scaleb(-digits)
