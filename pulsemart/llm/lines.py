@@ -73,7 +73,7 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = 2, min_chars: int =
         "doc_id",
         F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n")).alias("kept"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_size("hits"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, minhash, packing, token_counts
+from . import bpe, html_text, imatch, licenses, lines, minhash, outliers, packing, token_counts, toxicity
 from .common import table
 from .registry import query
 
@@ -25,6 +25,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
 
 
+@query("op2_license_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices of every document, without their spans."""
+    return licenses.scan_licenses(table(spark, folder, "documents")).drop("spans")
+
+
 @query("op3_bpe_round_trip")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of ids and decoded text of every document."""
@@ -48,3 +54,28 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of every document."""
     counts = token_counts.count_tokens(table(spark, folder, "documents"), **BYTE_LEVEL)
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    rows = outliers.verdicts(table(spark, folder, "documents"))
+    return rows.select("doc_id", *outliers.BASE, "kept", "distance")
+
+
+@query("op8_html_main_text")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op9_imatch_fingerprints")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return imatch.compared(table(spark, folder, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
