@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import queries as _queries  # noqa: F401  (it registers)
 from .registry import ORACLES, QUERIES
 
 
 def queries():
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of links (a, b).
@@ -18,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
         links.filter(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
-        .checkpoint()
+        .transform(checkpoint)
     )
     mark = _mark(edges)
     while mark[0]:
@@ -27,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct().checkpoint()
+        edges = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import checkpoint, map_batches
 
 #: A subtree is a template where it stands on so many different pages of its host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.02
@@ -197,18 +197,18 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
         for batch in batches:
             yield {"host": batch["host"], "version": batch["version"], "subtrees": [Page(h).templates() for h in batch["html"]]}
 
-    seen = map_batches(
+    seen = checkpoint(map_batches(
         source.select("host", "version", "html"), subtrees, "host string, version long, subtrees array<long>"
-    ).checkpoint()
+    ))
     pairs = seen.select("host", "version", F.explode("subtrees").alias("subtree")).distinct()
     sizes = seen.select("host", "version").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     shared = (
         pairs.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
         .join(sizes, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "subtree")
     )
-    hits = (
+    hits = checkpoint((
         pairs.join(shared, ["host", "subtree"]).groupBy("host", "version").agg(F.collect_set("subtree").alias("templates"))
-    ).checkpoint()
+    ))
     few = hits.limit(FEW_PAGES + 1).count() <= FEW_PAGES
     marked = source.join(F.broadcast(hits) if few else hits, ["host", "version"], "left")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import checkpoint, text_or_empty
 
 #: Band of document frequencies, as shares of all documents: idf = -ln(share).
 RAREST, COMMONEST = 0.0005, 0.05
@@ -35,7 +35,7 @@ def lexicon(docs: DataFrame) -> DataFrame:
     n = docs.count()
     held = docs.select(F.explode(terms(F.col("text"))).alias("term")).filter(F.length("term") <= TERM_CHARS)
     counts = held.groupBy("term").agg(F.count("*").alias("df"))
-    counts = counts.filter((F.col("df") >= max(2.0, RAREST * n)) & (F.col("df") <= max(2.0, COMMONEST * n))).checkpoint()
+    counts = checkpoint(counts.filter((F.col("df") >= max(2.0, RAREST * n)) & (F.col("df") <= max(2.0, COMMONEST * n))))
     postings = counts.agg(F.sum("df")).first()[0] or 0
     h = F.xxhash64("term")
     mask = F.lit(0).cast("long")
@@ -134,7 +134,7 @@ def compared(docs: DataFrame) -> DataFrame:
     an empty result.
     """
     source = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    terms_of = lexicon(source).checkpoint()
+    terms_of = checkpoint(lexicon(source))
     edited = F.expr("concat(substring(text, 1, n_chars - half), substring(next_text, 1, half))")
     facts = ["row", "doc_id", "version", "next_id", "next_version", "edited_version", "n_chars", "edited_sha256"]
     both = (

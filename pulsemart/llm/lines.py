@@ -22,7 +22,7 @@ def _hashes(key: Column) -> tuple[Column, Column]:
 
 
 def drop_shared_lines(docs: DataFrame, min_documents: int = 2, min_chars: int = 10) -> DataFrame:
-    """doc_id, kept (text left), n_lines, n_dropped for each row of docs (doc_id, text).
+    """The rows of docs (doc_id, text, others) as a struct `row` without the text, with kept (the text left), n_lines, n_dropped.
 
     A line whose key has at least `min_chars` code points and is found in at least `min_documents` documents stays only
     in the smallest doc_id that holds it, there with all its repeats. Only hashes of lines are shuffled; the lines of a
@@ -30,10 +30,10 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = 2, min_chars: int =
     the texts meet them in one join and lines are put back by their position in the text.
 
     Null and empty texts are one empty line. Rows that share a doc_id are one document with several texts. A row without
-    doc_id keeps all its lines and makes no other row lose one. An empty table gives an empty result; other columns of
-    `docs` are not read. A document whose lines all go keeps the empty text.
+    doc_id keeps all its lines and makes no other row lose one. An empty table gives an empty result. A document whose lines all go keeps the empty text.
     """
-    source = docs.select("doc_id", text_or_empty().alias("text")).withColumn("version", F.xxhash64("text"))
+    others = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row")
+    source = docs.select(others, "doc_id", text_or_empty().alias("text")).withColumn("version", F.xxhash64("text"))
     held = (
         source.filter(F.col("doc_id").isNotNull())
         .select("doc_id", "version", F.posexplode(_keys(F.col("text"))).alias("pos", "key"))
@@ -57,7 +57,7 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = 2, min_chars: int =
         .agg(F.array_sort(F.collect_set("pos")).alias("hits"))
     )
     marked = source.join(hits, ["doc_id", "version"], "left").select(
-        "doc_id", "text", F.split("text", "\n", -1).alias("lines"), "hits"
+        "row", "text", F.split("text", "\n", -1).alias("lines"), "hits"
     )
     # the runs of lines between dropped positions, so that the work is linear in the lines
     ends = F.concat("hits", F.array(F.size("lines")))
@@ -70,7 +70,7 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = 2, min_chars: int =
         ),
     )
     return marked.select(
-        "doc_id",
+        "row",
         F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n")).alias("kept"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.array_size("hits"), F.lit(0)).cast("long").alias("n_dropped"),
@@ -79,7 +79,15 @@ def drop_shared_lines(docs: DataFrame, min_documents: int = 2, min_chars: int =
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each document."""
-    return drop_shared_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+    rows = drop_shared_lines(docs.select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_shared_lines(docs: DataFrame) -> DataFrame:
+    """docs with the texts that line dedup leaves; n_chars, where there is one, is counted again."""
+    rows = drop_shared_lines(docs)
+    made = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return rows.select(*[(made[c] if c in made else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 LINES_SQL = r"""

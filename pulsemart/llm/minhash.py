@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_or_empty
+from .common import checkpoint, map_batches, text_or_empty
 from .graph import components
 
 #: Bands of so many samples each. A pair at similarity 0.8 shares no band with a probability of (1 - 0.8^5)^32 = 3e-6.
@@ -144,20 +144,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     text. Other columns of `docs` are not read; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    signed = signatures(texts, words).checkpoint()
+    signed = checkpoint(signatures(texts, words))
     classes = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"))
     nodes = (
         signed.join(classes, "key")
         .filter(F.col("doc_id") == F.col("rep"))
         .select("rep", "n", "bands", "sketch")
         .dropDuplicates(["rep"])
-        .checkpoint()
+        .transform(checkpoint)
     )
     sources = texts.filter(F.col("text") != "")
     sketches = nodes.select("rep", "n", "sketch")
     held = nodes.select("rep", F.explode("bands").alias("bucket"))
     leaders = held.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    held = held.join(leaders, "bucket").checkpoint()
+    held = checkpoint(held.join(leaders, "bucket"))
 
     first = (
         held.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
@@ -165,9 +165,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .join(sketches.toDF("b", "n_b", "sketch_b"), "b")
         .filter(_likely(percent))
         .select("a", "b")
-        .checkpoint()
+        .transform(checkpoint)
     )
-    links = _confirmed(first, sources, words, percent).checkpoint()
+    links = checkpoint(_confirmed(first, sources, words, percent))
     roots = components(links)
 
     placed = held.filter("size > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
         .filter("parts > 1").select("bucket", F.col("top.root").alias("main"))
     )
-    rest = placed.join(mixed, "bucket").filter("rep <> leader").join(sketches, "rep").checkpoint()
+    rest = checkpoint(placed.join(mixed, "bucket").filter("rep <> leader").join(sketches, "rep"))
     left = rest.filter("root <> main").select(
         "bucket", F.col("rep").alias("l"), F.col("root").alias("l_root"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")
     )
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .filter(_likely(percent))
         .select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
         .distinct()
-        .checkpoint()
+        .transform(checkpoint)
     )
     if not second.isEmpty():
         roots = components(links.union(_confirmed(second, sources, words, percent)))
@@ -205,6 +205,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs (doc_id, text, others), all columns, without the documents that near_duplicates() doesn't keep."""
+    dropped = near_duplicates(docs, words, percent).filter("NOT kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _likely(percent: int) -> Column:
     """Set sizes allow the similarity, and the sketches put it near or over the threshold."""
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")

@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, text_or_empty
+from .common import BLANK, checkpoint, text_or_empty
 
 #: Words a document needs, and the share of words in repeated three-word windows (percent) it may have.
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Documents a group needs for an estimate of its own. Those of smaller groups are pooled by language, then altogether;
 #: without so many in all, nothing is rejected.
 MIN_GROUP = 200
+#: Rows of sources or estimates that are sent to all tasks, about 300 bytes each.
+FEW_GROUPS = 20_000
 #: Share of a group's documents its estimate rests on.
 CORE = 0.75
 #: Rounds of choosing the closest documents and estimating again.
@@ -176,7 +178,7 @@ def _with_distance(rows: DataFrame) -> DataFrame:
 
 def groups(found: DataFrame) -> DataFrame:
     """lang, source, group: which estimate the documents of each language and source are held against."""
-    counts = found.filter("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")).checkpoint()
+    counts = checkpoint(found.filter("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")))
     small = counts.filter(F.col("n") < MIN_GROUP)
     pools = small.groupBy(F.col("lang").alias("pool")).agg(F.sum("n").alias("pooled"))
     rest = pools.filter(F.col("pooled") < MIN_GROUP).agg(F.sum("pooled")).first()[0] or 0
@@ -191,11 +193,16 @@ def groups(found: DataFrame) -> DataFrame:
     )
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Hinted for a broadcast while there are few enough; more sources than that are left to a shuffled join."""
+    return F.broadcast(rows) if rows.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS else rows
+
+
 def _placed(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     """rows with their group."""
     known = by_source.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "group")
     same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
-    return rows.join(known, same, "left").drop("lang_", "source_")
+    return rows.join(_small(known), same, "left").drop("lang_", "source_")
 
 
 def estimates(found: DataFrame, by_source: DataFrame) -> DataFrame:
@@ -206,27 +213,29 @@ def estimates(found: DataFrame, by_source: DataFrame) -> DataFrame:
     chi-squared law. Each small table of estimates is checkpointed, since the next one uses it twice.
     """
     rows = _placed(found.filter("NOT base_failed"), by_source).filter(F.col("group").isNotNull())
-    rows = rows.select("group", *FEATURES).checkpoint()
-    middle = rows.groupBy("group").agg(*[F.percentile(f, F.lit(0.5)).alias(f"mid_{f}") for f in FEATURES]).checkpoint()
+    rows = checkpoint(rows.select("group", *FEATURES))
+    middle = checkpoint(rows.groupBy("group").agg(*[F.percentile(f, F.lit(0.5)).alias(f"mid_{f}") for f in FEATURES]))
     away = rows.join(middle, "group").select("group", *[F.abs(F.col(f) - F.col(f"mid_{f}")).alias(f) for f in FEATURES])
     spread = away.groupBy("group").agg(
         *[F.greatest(F.percentile(f, F.lit(0.5)) * 1.4826, F.lit(float(FLOOR))).alias(f"dev_{f}") for f in FEATURES]
     )
-    start = middle.join(spread, "group").checkpoint()
+    start = checkpoint(middle.join(spread, "group"))
     measured = rows.join(start, "group").withColumn("squared", _first_distance()).select("group", *FEATURES, "squared")
     for _ in range(ROUNDS):
-        edges = _closest(measured).checkpoint()
+        edges = checkpoint(_closest(measured))
         core = measured.join(edges, "group").filter(_bin(F.col("squared")) <= F.col("edge"))
-        current = _covariance(core).checkpoint()
+        current = checkpoint(_covariance(core))
         measured = _with_distance(rows.join(current, "group")).select("group", *FEATURES, "squared")
-    return current.join(_closest(measured).select("group", "scale"), "group").checkpoint()
+    return checkpoint(current.join(_closest(measured).select("group", "scale"), "group"))
 
 
 def judged(found: DataFrame, by_source: DataFrame, estimated: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """found with `distance` (scaled and squared; null without an estimate) and `kept`."""
-    rows = _with_distance(_placed(found, by_source).join(estimated, "group", "left"))
+    rows = _with_distance(_placed(found, by_source).join(_small(estimated), "group", "left"))
     distance = F.col("squared") * F.col("scale")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    # one comparison of both verdicts: alone, the base rules would be pushed down as a filter that repeats their work
+    worst = F.greatest(F.col("base_failed").cast("double") * 1e300, F.coalesce("distance", F.lit(0.0)))
+    kept = worst <= cutoff
     return rows.withColumn("distance", distance).withColumn("kept", kept).select(*found.columns, "distance", "kept")
 
 
@@ -241,8 +250,8 @@ def verdicts(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     judged on its own text, rows of one doc_id or none included. Other columns of `docs` are not read; an empty table
     gives an empty result.
     """
-    found = statistics(docs.select("doc_id", "lang", "source", text_or_empty().alias("text"))).drop("text").checkpoint()
-    by_source = groups(found).checkpoint()
+    found = checkpoint(statistics(docs.select("doc_id", "lang", "source", text_or_empty().alias("text"))).drop("text"))
+    by_source = checkpoint(groups(found))
     return judged(found, by_source, estimates(found, by_source), cutoff)
 
 
@@ -252,8 +261,8 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     names = docs.columns
     source = docs.select(F.struct(*[F.col(c) for c in names]).alias("row_"), "lang", "source", text_or_empty().alias("text"))
     found = statistics(source)
-    kept_facts = found.select("lang", "source", "base_failed", *FEATURES).checkpoint()
-    by_source = groups(kept_facts).checkpoint()
+    kept_facts = checkpoint(found.select("lang", "source", "base_failed", *FEATURES))
+    by_source = checkpoint(groups(kept_facts))
     rows = judged(found, by_source, estimates(kept_facts, by_source), cutoff).filter("kept")
     return rows.select(*[F.col("row_")[c].alias(c) for c in names])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_level import WordEncoder
-from .common import MEMO_LENGTH, map_batches, pre_tokens, text_or_empty
+from .common import MEMO_LENGTH, checkpoint, map_batches, pre_tokens, text_or_empty
 
 #: At most so many pre-tokens are sent to every task (see `count_tokens`).
 FREQUENT = 100_000
@@ -56,7 +56,7 @@ def count_tokens(
     columns of `docs` are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    words = count_pieces(distinct_pre_tokens(docs), vocabulary, ranks, pattern).checkpoint()
+    words = checkpoint(count_pieces(distinct_pre_tokens(docs), vocabulary, ranks, pattern))
     total = words.agg(F.sum("n")).first()[0] or 0
     known = spark.sparkContext.broadcast(
         {
@@ -86,7 +86,7 @@ def count_tokens(
     rows = (
         map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, schema)
         .withColumn("row", F.monotonically_increasing_id())
-        .checkpoint()
+        .transform(checkpoint)
     )
     rest = (
         rows.select("row", F.explode("rest").alias("r"))

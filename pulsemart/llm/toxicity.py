@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, text_or_empty
+from .common import Memo, map_batches, ship_package, text_or_empty
 
 #: Insults as any word list of moderation tools has them: voters before anything is learned.
 INSULTS = """
@@ -235,3 +236,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, train(docs, labels))
     held_out = F.coalesce(~in_training_fold(F.col("doc_id")), F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, others), all columns, whose score stays below THRESHOLD."""
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    ship_package(docs.sparkSession)
+    model = train(docs, labels)
+    voter, weights, bias = Voter(model["voters"]), np.array(model["weights"]), model["bias"]
+    limit = np.log(THRESHOLD / (1 - THRESHOLD))
+
+    @pandas_udf("boolean")
+    def clean(text: pd.Series) -> pd.Series:
+        return pd.Series([bias + weights[voter(t)].sum() < limit for t in text], dtype=bool)
+
+    return docs.filter(clean(text_or_empty()))
