@@ -7,7 +7,7 @@ import math
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches, text_or_empty
@@ -18,8 +18,11 @@ BANDS, ROWS = 32, 5
 #: Bits of an odd sketch.
 SKETCH_BITS = 512
 #: Candidates whose sketches put their similarity lower than the threshold by this much are not compared in full. At
-#: similarity 0.8 the sketch of 160 samples errs so far about once in 10^7 pairs.
-SKETCH_MARGIN = 0.24
+#: similarity 0.8 the sketch of 160 samples has a standard error of 0.035: it errs so far about once in 10^5 pairs.
+#: Rounds in which each document of a bucket is compared with PARTNERS of the bucket's leaders, before what is still apart
+#: is compared in full.
+ROUNDS, PARTNERS = 3, 4
+SKETCH_MARGIN = 0.16
 _PART = 2048
 
 
@@ -131,13 +134,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Two documents are linked where `percent` or more of the shingles of either stand in both. Rows with equal sets are
     one class, represented by the smallest doc_id; the work below is on representatives alone:
-    1. Each band of MinHash samples is a bucket, and each member of a bucket is a candidate with the bucket's smallest.
-       The XOR of two odd sketches gives a precise similarity, and what stays near the threshold is confirmed on full
-       sets. Connected components of these links follow.
-    2. Members of a bucket that are still in different components are compared with each other in the same way: those
-       outside the bucket's largest component with all the rest. A bucket whose members are connected by now, such as
-       one of thousands of near copies, gives no pair, and no bucket gives all its pairs.
-    Components of all links are the result. No bucket, partner or candidate is capped.
+    1. Each band of MinHash samples is a bucket. In each of ROUNDS rounds a bucket whose members are in several components
+       has a leader, drawn by hash, and every member of another component than its leader's is a candidate with it, with
+       PARTNERS leaders at most. The XOR of two odd sketches gives a precise similarity, and what is near or over the
+       threshold is confirmed on full sets. Connected components of the links follow. A round makes PARTNERS candidates
+       a document at most, however large a bucket.
+    2. Whatever is then in one bucket but not in one component is compared without a cap: members outside the bucket's
+       largest component with all the rest, by sketches first. A bucket whose members are connected by then, such as one
+       of thousands of near copies, gives no pair.
+    Components of all links are the result; no candidate is left out, only those that can't change it.
 
     Texts without words (null and empty ones too) have an empty set and are linked with nothing. A row without doc_id is
     linked with nothing, has no component_id and is kept. Rows that share a doc_id are each kept or not by their own
@@ -155,45 +160,69 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     sources = texts.filter(F.col("text") != "")
     sketches = nodes.select("rep", "n", "sketch")
-    held = nodes.select("rep", F.explode("bands").alias("bucket"))
-    leaders = held.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    held = checkpoint(held.join(leaders, "bucket"))
-
-    first = (
-        held.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-        .join(sketches.toDF("a", "n_a", "sketch_a"), "a")
-        .join(sketches.toDF("b", "n_b", "sketch_b"), "b")
-        .filter(_likely(percent))
-        .select("a", "b")
-        .transform(checkpoint)
-    )
-    links = checkpoint(_confirmed(first, sources, words, percent))
-    roots = components(links)
-
-    placed = held.filter("size > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("bucket", "rep", "leader", F.coalesce("root", "rep").alias("root"))
+    held = nodes.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    crowded = held.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
+    held = checkpoint(held.join(crowded, "bucket"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = (
+            pairs.join(sketches.toDF("a", "n_a", "sketch_a"), "a")
+            .join(sketches.toDF("b", "n_b", "sketch_b"), "b")
+            .filter(_likely(percent))
+            .select("a", "b")
+        )
+        return _confirmed(checkpoint(likely), sources, words, percent)
+
+    roots = None
+    for k in range(ROUNDS):
+        # the first draw is the same in all buckets, so that few leaders serve a large group
+        draw = F.xxhash64("rep", F.lit(k)) if k == 0 else F.xxhash64("rep", "bucket", F.lit(k))
+        placed = _placed(held, roots)
+        leaders = (
+            placed.groupBy("bucket")
+            .agg(F.min(F.struct(draw.alias("draw"), "rep", "root")).alias("l"), F.min("root").alias("x"), F.max("root").alias("y"))
+            .filter("x <> y")
+            .select("bucket", "l.draw", F.col("l.rep").alias("leader"), F.col("l.root").alias("leader_root"))
+        )
+        offers = placed.join(leaders, "bucket").filter("root <> leader_root").groupBy("rep", "leader").agg(F.min("draw").alias("draw"))
+        best = Window.partitionBy("rep").orderBy("draw", "leader")
+        pairs = (
+            offers.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PARTNERS)
+            .select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+        )
+        found = confirmed(pairs)
+        known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")) if k else None
+        roots = components(known.union(found) if k else found)
+
+    placed = _placed(held, roots)
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = (
         parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
         .filter("parts > 1").select("bucket", F.col("top.root").alias("main"))
     )
-    rest = checkpoint(placed.join(mixed, "bucket").filter("rep <> leader").join(sketches, "rep"))
+    rest = checkpoint(placed.join(mixed, "bucket").join(nodes.select("rep", "n", "sketch", "bands"), "rep"))
     left = rest.filter("root <> main").select(
-        "bucket", F.col("rep").alias("l"), F.col("root").alias("l_root"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")
+        "bucket", "band", F.col("rep").alias("l"), F.col("root").alias("l_root"),
+        F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("bands").alias("bands_a"),
     )
     right = rest.select(
-        "bucket", F.col("rep").alias("r"), F.col("root").alias("r_root"), "main", F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")
+        "bucket", F.col("rep").alias("r"), F.col("root").alias("r_root"), "main",
+        F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("bands").alias("bands_b"),
     )
-    second = (
-        left.join(right, "bucket")
-        .filter((F.col("l_root") != F.col("r_root")) & ((F.col("r_root") == F.col("main")) | (F.col("l") < F.col("r"))))
-        .filter(_likely(percent))
+    apart = (F.col("l_root") != F.col("r_root")) & ((F.col("r_root") == F.col("main")) | (F.col("l") < F.col("r")))
+    # a pair comes from the first of the bands it shares
+    earlier = F.exists(
+        F.arrays_zip(F.slice("bands_a", 1, F.col("band")).alias("x"), F.slice("bands_b", 1, F.col("band")).alias("y")),
+        lambda p: p.x == p.y,
+    )
+    second = checkpoint(
+        left.join(right, (left.bucket == right.bucket) & apart & _likely(percent) & ~earlier)
         .select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
         .distinct()
-        .transform(checkpoint)
     )
     if not second.isEmpty():
-        roots = components(links.union(_confirmed(second, sources, words, percent)))
+        known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(known.union(_confirmed(second, sources, words, percent)))
     grouped = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", F.coalesce("root", "rep").alias("component")
     )
@@ -211,6 +240,14 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+def _placed(held: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """held with the component (root) of each representative."""
+    if roots is None:
+        return held.withColumn("root", F.col("rep"))
+    placed = held.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    return placed.withColumn("root", F.coalesce("root", "rep"))
+
+
 def _likely(percent: int) -> Column:
     """Set sizes allow the similarity, and the sketches put it near or over the threshold."""
     low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
