@@ -19,9 +19,11 @@ BANDS, ROWS = 32, 5
 SKETCH_BITS = 512
 #: Candidates whose sketches put their similarity lower than the threshold by this much are not compared in full. At
 #: similarity 0.8 the sketch of 160 samples has a standard error of 0.035: it errs so far about once in 10^5 pairs.
-#: Rounds in which each document of a bucket is compared with PARTNERS of the bucket's leaders, before what is still apart
-#: is compared in full.
-ROUNDS, PARTNERS = 3, 4
+#: Leaders of its buckets that a document is compared with at most in each round, before what is still apart is compared in
+#: full. The first round joins most of a large group by one comparison a document.
+PARTNERS = (1, 4, 4)
+#: Lists of ids up to this length are sent to all tasks; longer ones are joined by a shuffle.
+FEW_IDS = 200_000
 SKETCH_MARGIN = 0.16
 _PART = 2048
 
@@ -113,15 +115,21 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield {"id": batch["doc_id"], "set": [shingles(t, words).view(np.int64) for t in batch["text"]]}
+            yield {"id": batch["id"], "set": [shingles(t, words).view(np.int64) for t in batch["text"]]}
 
-    return map_batches(docs, run, "id long, set array<long>")
+    return map_batches(docs.select("id", "text"), run, "id long, set array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only sets of documents in pairs are made."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = _sets(docs.join(wanted, "doc_id", "left_semi"), words).dropDuplicates(["id"])
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids (id)."""
+    few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    wanted = checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = _only(sets, wanted)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"
     )
@@ -134,8 +142,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Two documents are linked where `percent` or more of the shingles of either stand in both. Rows with equal sets are
     one class, represented by the smallest doc_id; the work below is on representatives alone:
-    1. Each band of MinHash samples is a bucket. In each of ROUNDS rounds a bucket whose members are in several components
-       has a leader, drawn by hash, and every member of another component than its leader's is a candidate with it, with
+    1. Each band of MinHash samples is a bucket. In each round a bucket whose members are in several components has a
+       leader, drawn by hash, and every member of another component than its leader's is a candidate with it, with
        PARTNERS leaders at most. The XOR of two odd sketches gives a precise similarity, and what is near or over the
        threshold is confirmed on full sets. Connected components of the links follow. A round makes PARTNERS candidates
        a document at most, however large a bucket.
@@ -158,11 +166,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .dropDuplicates(["rep"])
         .transform(checkpoint)
     )
-    sources = texts.filter(F.col("text") != "")
     sketches = nodes.select("rep", "n", "sketch")
     held = nodes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     crowded = held.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
     held = checkpoint(held.join(crowded, "bucket"))
+    # full sets of the documents that share a bucket with another, made once
+    members = checkpoint(held.select(F.col("rep").alias("id")).distinct())
+    sources = texts.filter(F.col("text") != "").withColumnRenamed("doc_id", "id")
+    sets = checkpoint(_sets(_only(sources, members), words).dropDuplicates(["id"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = (
@@ -171,10 +182,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             .filter(_likely(percent))
             .select("a", "b")
         )
-        return _confirmed(checkpoint(likely), sources, words, percent)
+        return _confirmed(checkpoint(likely), sets, percent)
 
     roots = None
-    for k in range(ROUNDS):
+    for k, partners in enumerate(PARTNERS):
         # the first draw is the same in all buckets, so that few leaders serve a large group
         draw = F.xxhash64("rep", F.lit(k)) if k == 0 else F.xxhash64("rep", "bucket", F.lit(k))
         placed = _placed(held, roots)
@@ -187,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         offers = placed.join(leaders, "bucket").filter("root <> leader_root").groupBy("rep", "leader").agg(F.min("draw").alias("draw"))
         best = Window.partitionBy("rep").orderBy("draw", "leader")
         pairs = (
-            offers.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PARTNERS)
+            offers.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= partners)
             .select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         )
         found = confirmed(pairs)
@@ -222,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     if not second.isEmpty():
         known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(known.union(_confirmed(second, sources, words, percent)))
+        roots = components(known.union(_confirmed(second, sets, percent)))
     grouped = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", F.coalesce("root", "rep").alias("component")
     )
