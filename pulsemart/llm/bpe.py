@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -107,6 +108,12 @@ class Codec:
         return ids.count(" "), ids[1:], "".join([p[1] for p in parts])[1:]
 
 
+@functools.lru_cache(maxsize=2)
+def codec_of(vocabulary: str) -> Codec:
+    """One for all tasks of a worker process, so that its fragments are known already."""
+    return Codec(vocabulary)
+
+
 def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids (decimals joined by spaces), decoded for each row of docs (doc_id, text).
 
@@ -127,7 +134,7 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def _apply(docs: DataFrame, vocabulary: str, show: Callable, first: str, second: str) -> DataFrame:
     def run(batches):
-        codec = Codec(vocabulary)
+        codec = codec_of(vocabulary)
         for batch in batches:
             out = {"doc_id": batch["doc_id"], "n_tokens": [], first: [], second: []}
             for text in batch["text"]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import zlib
 from collections import deque
@@ -11,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_level import Encoder
+from .byte_level import encoder
 from .common import map_batches, text_or_empty
 
 #: Tokens of a sequence at most.
@@ -126,6 +127,7 @@ class Packer:
         return out
 
 
+@functools.lru_cache(maxsize=2)
 def sentence_ends(vocabulary: str) -> np.ndarray:
     """Flags the tokens that can end a sentence: their text ends with a full stop, a mark of its kind, or a newline."""
     with open(vocabulary, encoding="utf-8") as f:
@@ -158,7 +160,7 @@ def pack(
     """
 
     def run(batches):
-        encode, ends = Encoder(vocabulary, ranks, pattern), sentence_ends(vocabulary)
+        encode, ends = encoder(vocabulary, ranks, pattern), sentence_ends(vocabulary)
         packer = Packer(TaskContext.get().partitionId() << 40, ends, window, keep_ids)
         stop = np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]

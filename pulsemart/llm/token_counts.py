@@ -7,11 +7,11 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_level import WordEncoder
-from .common import MEMO_LENGTH, checkpoint, map_batches, pre_tokens, text_or_empty
+from .byte_level import word_encoder
+from .common import MEMO_LENGTH, map_batches, pre_tokens, stored, text_or_empty
 
 #: At most so many pre-tokens are sent to every task (see `count_tokens`).
-FREQUENT = 100_000
+FREQUENT = 200_000
 
 
 def distinct_pre_tokens(texts: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def count_pieces(words: DataFrame, vocabulary: str, ranks: str | None, pattern:
     """word, n, pieces: what the vocabulary makes of each distinct pre-token."""
 
     def run(batches):
-        encode = WordEncoder(vocabulary, ranks, pattern)
+        encode = word_encoder(vocabulary, ranks, pattern)
         for batch in batches:
             yield batch | {"pieces": [len(ids) // 4 for ids in encode(batch["word"])]}
 
@@ -49,14 +49,14 @@ def count_tokens(
     document and summed; ids are never made for a document. The join has two exact halves. Pre-tokens that make up more
     than 1 in `frequent` of all occurrences (so there are fewer than `frequent` of them, each of MEMO_LENGTH characters
     at most) go to every task and are summed on the spot; the frequencies of all others are shuffled by pre-token. A hot
-    pre-token thus never meets in one task. The distinct pre-tokens and the rows of the second pass are checkpointed: a
+    pre-token thus never meets in one task. The distinct pre-tokens and the rows of the second pass are stored in the shared folder: a
     lost executor costs neither again.
 
     Null and empty texts have no tokens. Each row is counted on its own, rows of one doc_id or none included. Other
     columns of `docs` are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    words = checkpoint(count_pieces(distinct_pre_tokens(docs), vocabulary, ranks, pattern))
+    words = stored(count_pieces(distinct_pre_tokens(docs), vocabulary, ranks, pattern))
     total = words.agg(F.sum("n")).first()[0] or 0
     known = spark.sparkContext.broadcast(
         {
@@ -86,7 +86,7 @@ def count_tokens(
     rows = (
         map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, schema)
         .withColumn("row", F.monotonically_increasing_id())
-        .transform(checkpoint)
+        .transform(stored)
     )
     rest = (
         rows.select("row", F.explode("rest").alias("r"))
