@@ -88,9 +88,3 @@ class Encoder:
 def word_encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> WordEncoder:
     """One for all tasks of a worker process."""
     return WordEncoder(vocabulary, ranks, pattern)
-
-
-@functools.lru_cache(maxsize=2)
-def encoder(vocabulary: str, ranks: str | None = None, pattern: str | None = None) -> Encoder:
-    """One for all tasks of a worker process, so that its words are known already."""
-    return Encoder(vocabulary, ranks, pattern)
