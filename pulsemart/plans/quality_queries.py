@@ -119,6 +119,20 @@ def access_log(spark, folder):
     return monitor.access_log(st.service_log(spark, folder))
 
 
+@query(
+    "access_log_paths",
+    f"""SELECT '/api/reports/' || event_type AS path, count(*) AS requests,
+          count(*) FILTER (WHERE event_type NOT IN ('error', 'view')) AS ok,
+          count(*) FILTER (WHERE event_type = 'view') AS client_errors,
+          count(*) FILTER (WHERE event_type = 'error') AS server_errors,
+          {r("avg(value)", 2)} AS avg_ms, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.99) AS p99_ms
+        FROM events WHERE event_id % 1000 <> 999 GROUP BY event_type""",
+)
+def access_log_paths(spark, folder):
+    """Requests, outcomes and latency per path alone: few, large groups."""
+    return monitor.access_log(st.service_log(spark, folder), ["path"])
+
+
 @query(
     "cache_ratio",
     f"""SELECT '/reports/' || user_id || '/summary/summary.json' AS path, count(*) AS requests,

@@ -112,17 +112,4 @@ CUSTOMER_DATA = struct(
        last_updated_at TIMESTAMP, _version BIGINT"""
 )
 
-CONSENT_EVENTS = struct(
-    """id BIGINT!, user_profile_id BIGINT!, client_id STRING!,
-       scopes STRINGS!, action STRING!, ip_address STRING, user_agent STRING,
-       created_at TIMESTAMP"""
-)
-
-PROFILES = struct(
-    """keycloak_user_id STRING!, identity_provider STRING, yandex_id STRING, yandex_login STRING,
-       yandex_avatar_id STRING, email STRING, first_name STRING, last_name STRING, display_name STRING,
-       phone STRING, avatar_url STRING, consent_given BOOLEAN, consent_given_at TIMESTAMP,
-       consent_scopes STRINGS, last_login_at TIMESTAMP"""
-)
-
 PUBLISHED = struct("kind STRING, day STRING, bucket INT, object_key STRING, user_id STRING, report_date DATE, page INT, body STRING")

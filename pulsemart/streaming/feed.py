@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators import cdc, upsert
-from .triggers import start
+from .triggers import AT_ONCE, start
 
 BUCKETS = 64
 # Lookups by chip and by external id skip row groups.
@@ -83,7 +83,7 @@ def ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         write_log_batch(batch, batch_id, entity, log_path, dead_path, max_broken)
 
-    return start(messages, write, f"ingest-{entity}", checkpoint, trigger)
+    return start(messages, write, f"ingest-{entity}", checkpoint, trigger or AT_ONCE)
 
 
 def read_log(spark: SparkSession, log_path: str, entity: str) -> DataFrame:
@@ -149,7 +149,7 @@ def keep_state(
         finally:
             decoded.unpersist()
 
-    return start(messages, write, f"state-{entity}", checkpoint, trigger)
+    return start(messages, write, f"state-{entity}", checkpoint, trigger or AT_ONCE)
 
 
 # -- customer dimension ------------------------------------------------------------------------------------
@@ -223,4 +223,4 @@ def keep_dimension(
     def write(batch: DataFrame, batch_id: int) -> None:
         apply_feed_batch(batch, batch_id, root, buckets)
 
-    return start(tagged(streams), write, "customer-dimension", checkpoint, trigger)
+    return start(tagged(streams), write, "customer-dimension", checkpoint, trigger or AT_ONCE)

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_dir
 
-EVERY_QUARTER_HOUR = {"processingTime": "15 minutes"}
+EVERY_QUARTER_HOUR = {"processingTime": "15 minutes"}  # loads
+AT_ONCE = {"processingTime": "0 seconds"}  # the change feed: a batch follows the one before
 DRAIN_ONCE = {"availableNow": True}
 
 

@@ -183,3 +183,21 @@ def test_database_options():
     source = tables.DatabaseSource("jdbc:postgresql://db/crm", {"user": "u"}, partitions=8, prefix="crm.")
     options = source.options("customers", "customer_id", 0, 1000)
     assert options["dbtable"] == "crm.customers" and options["numPartitions"] == "8" and options["user"] == "u"
+
+
+def test_a_database_stands_in_for_files(spark, monkeypatch):
+    asked = []
+    source = tables.DatabaseSource("jdbc:postgresql://db/crm", splits={"customers": ("customer_id", 0, 9)})
+    monkeypatch.setattr(tables.DatabaseSource, "read", lambda self, spark, table, schema: asked.append(table))
+    monkeypatch.setattr(
+        tables.DatabaseSource, "read_slices", lambda self, spark, table, schema, column, start, end: asked.append((table, column))
+    )
+    tables.crm(spark, source)
+    tables.hourly_stats(spark, source)
+    tables.raw_telemetry(spark, source, dt.datetime(2024, 3, 1), dt.datetime(2024, 3, 2))
+    assert asked == ["customers", "prostheses", "prosthesis_models", "hourly_stats", ("raw_telemetry", "timestamp")]
+
+
+def test_a_table_without_a_split_is_refused(spark):
+    with pytest.raises(ValueError):
+        tables.DatabaseSource("jdbc:postgresql://db/crm").read(spark, "customers", None)
