@@ -6,11 +6,12 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, text_or_empty
+from .common import checkpoint, map_batches, ship_package, text_or_empty
 from .graph import components
 
 #: Bands of so many samples each. A pair at similarity 0.8 shares no band with a probability of (1 - 0.8^5)^32 = 3e-6.
@@ -25,6 +26,10 @@ PARTNERS = (1, 4, 4)
 #: Lists of ids up to this length are sent to all tasks; longer ones are joined by a shuffle.
 FEW_IDS = 200_000
 SKETCH_MARGIN = 0.16
+#: Members of larger buckets that the rounds leave apart are compared in blocks instead of pair by pair.
+LARGE = 32
+#: Documents and shingles of one block, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 _PART = 2048
 
 
@@ -137,6 +142,69 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
+def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) between the documents of two blocks, one for every two components that they join."""
+    out = {}
+    if len(left) and len(right):
+        root, n = left["root"].to_numpy(), left["n"].to_numpy()
+        sketch = np.stack(left["sketch"].to_list()).view(np.uint64)
+        owner = np.repeat(np.arange(len(left)), n)
+        values = np.concatenate(left["set"].to_list())
+        order = np.argsort(values)
+        values, owner = values[order], owner[order]
+        for r in right.itertuples():
+            share = np.bitwise_count(sketch ^ r.sketch.view(np.uint64)).sum(axis=1) / SKETCH_BITS
+            estimate = 1 + np.log(1 - 2 * np.minimum(share, 0.4999)) * (SKETCH_BITS / 4 / (BANDS * ROWS))
+            likely = (root != r.root) & (estimate >= percent / 100 - SKETCH_MARGIN)
+            likely &= np.minimum(n, r.n) * 100 >= np.maximum(n, r.n) * percent
+            if not likely.any():
+                continue
+            first = np.searchsorted(values, r.set, "left")
+            many = np.searchsorted(values, r.set, "right") - first
+            spots = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            common = np.bincount(owner[spots], minlength=len(left))
+            for k in np.flatnonzero(likely & (common * 100 >= (n + r.n - common) * percent)):
+                out.setdefault((root[k], r.root), (left["rep"].iat[k], r.rep))
+    return pd.DataFrame(list(out.values()), columns=["a", "b"], dtype=np.int64)
+
+
+def _names(side: DataFrame, full: DataFrame) -> list[str]:
+    """Columns of their join on rep."""
+    return ["rep", *[c for c in side.columns + full.columns if c != "rep"]]
+
+
+def _blocks(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """rows (rep, n, others) with the number of a block among the rows of the same `by`, dealt evenly by hash."""
+    wanted = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)
+    sizes = rows.groupBy(*by).agg(F.ceil(wanted).alias("wanted"))
+    return rows.join(sizes, by).withColumn(name, F.pmod(F.xxhash64("rep"), "wanted")).drop("wanted")
+
+
+def _in_blocks(placed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in the buckets of `placed` (bucket, rep, root, main) between members outside the bucket's main
+    component and all the rest; `full` has n, sketch and set of each rep.
+
+    Members outside are dealt into blocks by their main component, and all that share a bucket with a block are dealt
+    into blocks against it. One task compares one block with one block.
+    """
+    ship_package(placed.sparkSession)
+    sizes = full.select("rep", "n")
+    left = placed.filter("root <> main").groupBy("rep").agg(F.min("root").alias("root"), F.min("main").alias("of"))
+    left = checkpoint(_blocks(left.join(sizes, "rep"), ["of"], "block").drop("n"))
+    of_bucket = placed.join(left.select("rep", "of", "block"), "rep").select("bucket", "of", "block").distinct()
+    right = placed.join(of_bucket, "bucket").select("of", "block", "rep", "root").distinct()
+    right = checkpoint(_blocks(right.join(sizes, "rep"), ["of", "block"], "against").drop("n"))
+    left = left.join(right.select("of", "block", "against").distinct(), ["of", "block"])
+    keys = ["of", "block", "against"]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _links(a, b, percent)
+
+    columns = [*keys, "rep", "root", "n", "sketch", "set"]
+    here, there = (side.join(full.toDF(*full.columns), "rep").toDF(*_names(side, full)).select(*columns) for side in (left, right))
+    return here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
@@ -149,7 +217,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
        a document at most, however large a bucket.
     2. Whatever is then in one bucket but not in one component is compared without a cap: members outside the bucket's
        largest component with all the rest, by sketches first. A bucket whose members are connected by then, such as one
-       of thousands of near copies, gives no pair.
+       of thousands of near copies, gives no pair. Buckets of more than LARGE members are compared block by block, where
+       only links leave a task; a document's set is sent once a block that it is compared with, not once a pair.
     Components of all links are the result; no candidate is left out, only those that can't change it.
 
     Texts without words (null and empty ones too) have an empty set and are linked with nothing. A row without doc_id is
@@ -208,10 +277,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = _placed(held, roots)
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = (
-        parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
-        .filter("parts > 1").select("bucket", F.col("top.root").alias("main"))
+        parts.groupBy("bucket")
+        .agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("size"))
+        .filter("parts > 1").select("bucket", F.col("top.root").alias("main"), "size")
     )
-    rest = checkpoint(placed.join(mixed, "bucket").join(nodes.select("rep", "n", "sketch", "bands"), "rep"))
+    left_over = checkpoint(placed.join(mixed, "bucket"))
+    rest = left_over.filter(F.col("size") <= LARGE).join(nodes.select("rep", "n", "sketch", "bands"), "rep")
     left = rest.filter("root <> main").select(
         "bucket", "band", F.col("rep").alias("l"), F.col("root").alias("l_root"),
         F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("bands").alias("bands_a"),
@@ -231,9 +302,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
         .distinct()
     )
-    if not second.isEmpty():
+    full = sets.withColumnRenamed("id", "rep").join(sketches, "rep")
+    found = checkpoint(
+        _confirmed(second, sets, percent).union(_in_blocks(left_over.filter(F.col("size") > LARGE), full, percent))
+    )
+    if not found.isEmpty():
         known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(known.union(_confirmed(second, sets, percent)))
+        roots = components(known.union(found))
     grouped = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", F.coalesce("root", "rep").alias("component")
     )

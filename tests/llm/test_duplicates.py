@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import compare
@@ -74,6 +75,25 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute_components(rows, 2, 80)
 
 
+def test_a_large_group_around_the_threshold_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LARGE", 3)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(minhash, "PARTNERS", (1,))
+    used = []
+    links = minhash._in_blocks
+    monkeypatch.setattr(minhash, "_in_blocks", lambda *a: used.append(links(*a)) or used[-1])
+    draw = random.Random(3)
+    rows = []
+    for k in range(1, 151):
+        words = [f"w{i}" for i in range(120)]
+        for place in draw.sample(range(120), draw.randint(3, 14)):
+            words[place] = f"new{k}-{place}"
+        rows.append((k, " ".join(words)))
+    got = minhash.near_duplicates(documents(spark, rows), 2).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute_components(rows, 2, 80)
+    assert used[0].count() > 0
+
+
 def test_keep_one_returns_documents(spark):
     docs = documents(spark, [MEADOW, MEADOW + " x", "another text that stands alone here", (None, MEADOW)])
     kept = minhash.keep_one(docs, words=2)
