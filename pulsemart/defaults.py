@@ -35,4 +35,3 @@ CONSENT_ACTIONS = ("granted", "revoked")
 CHANGE_OPERATIONS = ("c", "u", "d", "r")
 
 # Rows of one nested document page; longer documents continue on further pages.
-DOCUMENT_PAGE_ROWS = 4096

@@ -24,15 +24,15 @@ NO_DAY = "all"
 
 
 def object_key(kind: str) -> Column:
-    """Path of a document in the object store; pages after the first of a long daily report are numbered."""
+    """Path of a document in the object store: a day has one report and the hours of each device beside it."""
     user = F.col("user_id")
     if kind == "list":
         return F.concat(user, F.lit("/list/reports.json"))
     if kind == "summary":
         return F.concat(user, F.lit("/summary/summary.json"))
-    name = F.when(F.col("page") == 0, F.lit("report.json")).otherwise(
-        F.concat(F.lit("report-"), F.col("page").cast("string"), F.lit(".json"))
-    )
+    name = F.lit("report.json")
+    if kind == "hours":
+        name = F.concat(F.lit("hours-"), F.col("prosthesis_id").cast("string"), F.lit(".json"))
     return F.concat(user, F.lit("/daily/"), F.date_format("report_date", "yyyy-MM-dd"), F.lit("/"), name)
 
 
@@ -44,38 +44,38 @@ def bucket_of(user: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
 
 
-def documents(mart: DataFrame, kind: str) -> DataFrame:
-    """The documents of one kind as columns, ready to be serialised."""
+def documents(mart: DataFrame, kind: str, buckets: int = BUCKETS) -> DataFrame:
+    """The documents of one kind, serialised. Daily ones are reports and, apart from them, the hours of each device:
+    one form for every size of account."""
     if kind == "list":
-        return report.list_document(mart)
+        return serialise(report.list_document(mart), "list", buckets)
     if kind == "summary":
-        return report.user_summary(mart)
+        return serialise(report.user_summary(mart), "summary", buckets)
     if kind == "daily":
-        return report.daily_document(mart)
+        reports = serialise(report.daily_detail(mart), "daily", buckets)
+        return reports.unionByName(serialise(report.device_hours(mart), "hours", buckets))
     raise ValueError(f"kind must be one of {KINDS}, not {kind!r}")
 
 
 def serialise(docs: DataFrame, kind: str, buckets: int = BUCKETS) -> DataFrame:
-    """Documents as `(kind, day, bucket, object_key, user_id, report_date, page, body)` rows."""
-    if kind == "daily":
-        date, page = F.col("report_date"), F.col("page")
-    else:
-        date, page = F.lit(None).cast("date"), F.lit(0)
-    content = [c for c in docs.columns if c != "page"]
+    """Documents as `(kind, day, bucket, object_key, user_id, report_date, prosthesis_id, body)` rows; `hours` of
+    devices are stored with the daily reports."""
+    date = F.col("report_date") if kind in ("daily", "hours") else F.lit(None).cast("date")
+    device = F.col("prosthesis_id") if kind == "hours" else F.lit(None)
     return docs.select(
-        F.lit(kind).alias("kind"),
+        F.lit("daily" if kind == "hours" else kind).alias("kind"),
         F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit(NO_DAY)).alias("day"),
         bucket_of(F.col("user_id"), buckets).alias("bucket"),
         object_key(kind).alias("object_key"),
         "user_id",
         date.alias("report_date"),
-        page.alias("page"),
-        F.to_json(F.struct(*content), {"ignoreNullFields": "false"}).alias("body"),
+        device.cast("long").alias("prosthesis_id"),
+        F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).alias("body"),
     )
 
 
 def all_documents(mart: DataFrame, kinds=KINDS, buckets: int = BUCKETS) -> DataFrame:
-    parts = [serialise(documents(mart, kind), kind, buckets) for kind in kinds]
+    parts = [documents(mart, kind, buckets) for kind in kinds]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -112,7 +112,7 @@ def write_all(mart: DataFrame, path: str, kinds=KINDS, buckets: int = BUCKETS) -
     """Publishes everyone's documents, replacing whatever was there of these kinds."""
     below = ["day", "bucket"]
     for kind in kinds:
-        rows = serialise(documents(mart, kind), kind, buckets).drop("kind")
+        rows = documents(mart, kind, buckets).drop("kind")
         (
             upsert.arrange(rows, below, SORT)
             .write.mode("overwrite")
@@ -177,7 +177,7 @@ def refresh_load(
         new = (
             serialise(report.list_document_from(of_users), "list", buckets)
             .unionByName(serialise(report.user_summary_from(of_users), "summary", buckets))
-            .unionByName(serialise(report.daily_document(touched), "daily", buckets))
+            .unionByName(documents(touched, "daily", buckets))
         )
         bucket = bucket_of(F.col("user_id"), buckets).alias("bucket")
         places = (

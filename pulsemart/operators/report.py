@@ -137,47 +137,19 @@ def hourly_rows(mart: DataFrame) -> DataFrame:
     return mart.select("user_id", "report_date", hour, "prosthesis_id", *_hour_values())
 
 
-def _nested_hours() -> Column:
-    """Hours of a group as an array ordered by hour, then device; the device only orders and is not shown."""
-    element = F.struct(F.col("report_hour").alias("hour"), F.col("prosthesis_id"), *_hour_values())
-    shown = ["hour", *HOUR_COLUMNS]
-    ordered = F.sort_array(F.collect_list(element))
-    return F.transform(ordered, lambda e: F.struct(*[e[c].alias(c) for c in shown])).alias("hourly_stats")
+def device_hours(mart: DataFrame) -> DataFrame:
+    """The hourly breakdown nested: one row per user, day and device with its hours as an array in order.
 
+    A device has 24 hours a day at most (times the loads that were appended), so the array is bounded however many
+    devices an account has.
+    """
+    hours = F.struct(F.col("report_hour").alias("hour"), *_hour_values())
+    return mart.groupBy(*rollup.DAY_KEYS, "prosthesis_id").agg(F.sort_array(F.collect_list(hours)).alias("hourly_stats"))
 
-def daily_document(mart: DataFrame, page_rows: int = defaults.DOCUMENT_PAGE_ROWS) -> DataFrame:
-    """Daily reports with the hourly breakdown nested as an array ordered by hour.
-
-    One document holds 24 rows per device. A user-day of more than `page_rows` rows (a fleet account) is not
-    collected into one array: its rows are spread over pages by hour and, inside an hour, by device, each page
-    is collected on its own, and every page carries the full day's header. `page` is 0 for a whole document;
-    otherwise reading pages in order gives the whole breakdown in hour order. Nothing is dropped.
 
-    Usually no user-day is that long: the list of long ones is then empty at run time, adaptive execution drops
-    the joins with it, and the documents cost one shuffle.
-    """
-    day = rollup.DAY_KEYS
-    # the bound on a page holds even if all rows of the day fall into one hour
-    big = (
-        mart.groupBy(*day)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > page_rows)
-        .select(*day, F.ceil(F.col("_rows") / page_rows).cast("int").alias("_shards"))
-    )
-    whole = (
-        rollup.daily_user(mart.join(big, day, "left_anti"), [_nested_hours()])
-        .select(*_detail_columns(), "hourly_stats")
-        .withColumn("page", F.lit(0))
-    )
-    # hours of one device loaded more than once differ in their stamp and spread as well
-    spread = ["prosthesis_id", *[c for c in ("etl_processed_at",) if c in mart.columns]]
-    shard = F.pmod(F.xxhash64(*spread), F.col("_shards")).cast("int")
-    page = F.lit(1) + F.col("report_hour") * F.col("_shards") + shard
-    pages = (
-        mart.join(big, day).withColumn("page", page.cast("int")).groupBy(*day, "page").agg(_nested_hours())
-    )
-    paged = daily_detail(mart.join(big, day, "left_semi")).join(pages, day)
-    return whole.unionByName(paged)
+def daily_document(mart: DataFrame) -> DataFrame:
+    """Daily reports: the totals of a user's day beside the nested hours of each of its devices."""
+    return daily_detail(mart).drop("prosthesis_id").join(device_hours(mart), rollup.DAY_KEYS)
 
 
 def day_ranking(mart: DataFrame, date: dt.date | str | None = None) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import error_rate, stable_round
 from ..operators import crm, hourly, mart, upsert
-from ..sources import generator
 from ..sources import sample_tables as st
 from .oracle import AS_OF, r, sql
 from .registry import query, rounded
@@ -215,45 +214,3 @@ def user_info_lookup(spark, folder):
     """Every customer with the values of their newest mart hour."""
     info = mart.user_info(st.mart_rows(spark, folder))
     return mart.lookup(st.table(spark, folder, "customer").select(F.col("c_name").alias("user_id")), info)
-
-
-def _hex(digest: str, place: int, n: int) -> str:
-    return f"(CAST('0x' || substr({digest}, {1 + 4 * place}, 4) AS INTEGER) % {n})"
-
-
-_TEN = "CAST(10 AS DOUBLE)"
-
-
-def _generated(first, digest, place, n):
-    return f"CAST({first} AS DOUBLE) + {_hex(digest, place, n)} / {_TEN}"
-
-
-@query(
-    "generated_mart",
-    sql(
-        f"""SELECT user_id, prosthesis_id, chip_id, report_date, report_hour, customer_full_name AS customer_name,
-              customer_email, customer_region, customer_branch, prosthesis_model, prosthesis_category, prosthesis_serial,
-              CAST(15 + {_hex('a', 0, 20)} AS BIGINT) AS movements_count,
-              CAST(14 + {_hex('a', 1, 18)} AS BIGINT) AS successful_movements,
-              {_generated(94.5, 'a', 2, 50)} AS success_rate, {_generated(75, 'a', 3, 500)} AS avg_response_time,
-              CAST(50 + {_hex('a', 4, 30)} AS BIGINT) AS min_response_time,
-              CAST(150 + {_hex('a', 5, 50)} AS BIGINT) AS max_response_time,
-              {_generated(75, 'a', 6, 250)} AS avg_battery_level,
-              65 + {_hex('a', 7, 20)} AS min_battery_level, 90 + {_hex('b', 0, 10)} AS max_battery_level,
-              {_generated(38, 'b', 1, 50)} AS avg_actuator_temp, {_generated(42, 'b', 2, 30)} AS max_actuator_temp,
-              CAST({_hex('b', 3, 2)} AS BIGINT) AS error_count, CAST({_hex('b', 4, 3)} AS BIGINT) AS warning_count,
-              {_generated(92, 'b', 5, 80)} AS avg_connection_quality,
-              {_generated(250, 'b', 6, 1000)} AS avg_myo_amplitude,
-              TIMESTAMP '2024-01-31' - to_minutes({_hex('b', 7, 60)}) AS source_updated_at
-            FROM (SELECT *, md5('1|' || prosthesis_id || '|' || report_date || '|' || report_hour || '|a') AS a,
-                    md5('1|' || prosthesis_id || '|' || report_date || '|' || report_hour || '|b') AS b
-                  FROM (SELECT o.*, DATE '2024-01-31' - CAST(d AS INTEGER) AS report_date, CAST(h AS INTEGER) AS report_hour
-                        FROM owners o, range(0, 7) x(d), range(8, 22) y(h)
-                        WHERE o.chip_id IS NOT NULL AND o.chip_id <> ''))""",
-        "owners",
-    ),
-)
-def generated_mart(spark, folder):
-    """Demo mart rows of every device: 7 days by 14 hours."""
-    owners = crm.mart_source(st.customer_view(spark, folder), allow_empty_chip=False)
-    return generator.mart_rows(owners, "2024-01-31")

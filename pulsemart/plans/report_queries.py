@@ -157,18 +157,19 @@ def daily_detail(spark, folder):
 
 _DOCUMENT_ROWS = """SELECT d.user_id, d.report_date, d.customer_name, d.total_movements, d.daily_success_rate,
     h.report_hour AS hour, h.movements_count, h.successful_movements, h.success_rate AS hour_success_rate,
-    h.avg_response_time AS hour_avg_response_time, h.avg_battery_level AS hour_avg_battery_level, h.error_count
-    {more}
-  FROM detail d JOIN {rows} h USING (user_id, report_date)"""
+    h.avg_response_time AS hour_avg_response_time, h.avg_battery_level AS hour_avg_battery_level, h.error_count,
+    h.prosthesis_id, h.position
+  FROM detail d JOIN hours h USING (user_id, report_date)"""
 
 
-def _unnested(documents, position: bool):
+def _unnested(documents):
     opened = documents.select(
         "user_id",
         "report_date",
         "customer_name",
         "total_movements",
         "daily_success_rate",
+        "prosthesis_id",
         F.posexplode("hourly_stats").alias("position", "h"),
     )
     fields = [
@@ -180,32 +181,23 @@ def _unnested(documents, position: bool):
         F.col("h.avg_battery_level").alias("hour_avg_battery_level"),
         F.col("h.error_count").alias("error_count"),
     ]
-    head = ["user_id", "report_date", "customer_name", "total_movements", "daily_success_rate"]
-    return opened.select(*head, *fields, *(["position"] if position else []))
+    head = ["user_id", "report_date", "customer_name", "total_movements", "daily_success_rate", "prosthesis_id", "position"]
+    return opened.select(*head, *fields)
 
 
 @query(
     "daily_document",
     sql(
-        _DOCUMENT_ROWS.format(more=", h.position", rows="hours"),
+        _DOCUMENT_ROWS,
         "day_last",
         detail=_DETAIL,
-        hours="""SELECT *, CAST(row_number() OVER (PARTITION BY user_id, report_date
-                   ORDER BY report_hour, prosthesis_id) - 1 AS INTEGER) AS position FROM mart""",
+        hours="""SELECT *, CAST(row_number() OVER (PARTITION BY user_id, report_date, prosthesis_id
+                   ORDER BY report_hour) - 1 AS INTEGER) AS position FROM mart""",
     ),
 )
 def daily_document(spark, folder):
     """Daily documents, opened again to show every nested hour and its place."""
-    return _unnested(report.daily_document(_mart(spark, folder)), position=True)
-
-
-@query(
-    "daily_document_paged",
-    sql(_DOCUMENT_ROWS.format(more="", rows="mart"), "day_last", detail=_DETAIL),
-)
-def daily_document_paged(spark, folder):
-    """Daily documents with a tiny page size: the same hours, spread over pages."""
-    return _unnested(report.daily_document(_mart(spark, folder), page_rows=2), position=False)
+    return _unnested(report.daily_document(_mart(spark, folder)))
 
 
 @query(
@@ -482,7 +474,7 @@ def affected_users(spark, folder):
 def missing_reports(spark, folder):
     """Days of the last week not published yet, when documents exist for days with a morning."""
     mart = _mart(spark, folder)
-    published = publish.serialise(report.daily_document(mart.filter(F.col("report_hour") < 12)), "daily")
+    published = mart.filter(F.col("report_hour") < 12).select("user_id", "report_date")
     return publish.missing(_last_week(mart).select("user_id", "report_date"), published)
 
 
@@ -496,7 +488,10 @@ def missing_reports(spark, folder):
               FROM (SELECT DISTINCT user_id FROM mart WHERE {_WEEK})
             UNION ALL
             SELECT DISTINCT 'daily', user_id || '/daily/' || report_date || '/report.json', user_id, report_date
-              FROM mart WHERE user_id IN (SELECT user_id FROM mart WHERE {_WEEK})""",
+              FROM mart WHERE user_id IN (SELECT user_id FROM mart WHERE {_WEEK})
+            UNION ALL
+            SELECT DISTINCT 'daily', user_id || '/daily/' || report_date || '/hours-' || prosthesis_id || '.json', user_id,
+              report_date FROM mart WHERE user_id IN (SELECT user_id FROM mart WHERE {_WEEK})""",
         "mart",
     ),
 )

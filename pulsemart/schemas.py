@@ -112,4 +112,4 @@ CUSTOMER_DATA = struct(
        last_updated_at TIMESTAMP, _version BIGINT"""
 )
 
-PUBLISHED = struct("kind STRING, day STRING, bucket INT, object_key STRING, user_id STRING, report_date DATE, page INT, body STRING")
+PUBLISHED = struct("kind STRING, day STRING, bucket INT, object_key STRING, user_id STRING, report_date DATE, prosthesis_id BIGINT, body STRING")

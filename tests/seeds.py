@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from pulsemart import schemas
 
 T0 = dt.datetime(2024, 3, 1)
@@ -162,3 +164,47 @@ def mart_row(user, device, date, hour, **values):
 
 def mart(spark, rows):
     return table(spark, schemas.MART, rows)
+
+
+# -- larger inputs: values follow from a hash of the row's keys, so every run has the same ----------------------
+
+
+def _spread(keys, number, n):
+    return F.pmod(F.xxhash64(*keys, F.lit(number)), F.lit(n))
+
+
+def _every_hour(devices, as_of, days, first, hours):
+    return devices.selectExpr("*", f"explode(sequence(date'{as_of}' - {days - 1}, date'{as_of}')) report_date").selectExpr(
+        "*", f"explode(sequence({first}, {first + hours - 1})) report_hour"
+    )
+
+
+def busy_mart(devices, as_of, days=5):
+    """Mart rows of devices (the mart's customer side) for 14 hours of each day; quarters, so that sums are exact."""
+    keys = ["prosthesis_id", "report_date", "report_hour"]
+    names = [c for c in schemas.MART.fieldNames() if c in devices.columns or c in keys]
+    rest = [f for f in schemas.MART.fields if f.name not in names and f.name not in ("source_updated_at", "etl_processed_at")]
+    values = [(_spread(keys, k, 40 + k) / (4 if f.dataType.simpleString() == "double" else 1)).cast(f.dataType).alias(f.name) for k, f in enumerate(rest)]
+    rows = _every_hour(devices, as_of, days, 5, 14).withColumn("prosthesis_id", F.col("prosthesis_id").cast("long"))
+    return rows.select(*names, *values, F.lit(T0).alias("source_updated_at"))
+
+
+def busy_samples(chips, as_of, days=7):
+    """Raw samples of chips (chip_id): three in each of 15 hours of a day."""
+    keys = ["chip_id", "report_date", "report_hour", "minute"]
+    rows = _every_hour(chips.select("chip_id"), as_of, days, 6, 15).selectExpr("*", "explode(array(1, 22, 43)) minute")
+    at = F.unix_timestamp(F.col("report_date").cast("timestamp")) + F.col("report_hour") * 3600 + F.col("minute") * 60
+    known = {
+        "chip_id": F.col("chip_id"),
+        "timestamp": F.timestamp_seconds(at),
+        "movement_type": F.when(_spread(keys, 50, 9) > 0, "grip"),
+        "movement_success": _spread(keys, 51, 7) > 0,
+        "error_code": F.when(_spread(keys, 52, 11) == 0, "E1"),
+        "session_id": F.concat_ws("-", "chip_id", "report_date"),
+    }
+    values = [
+        known.get(f.name, _spread(keys, k, 30 + k)).cast(f.dataType).alias(f.name)
+        for k, f in enumerate(schemas.RAW_TELEMETRY.fields)
+        if f.name != "telemetry_id"
+    ]
+    return rows.select(*values)

@@ -7,7 +7,6 @@ import seeds
 
 from pulsemart import schemas
 from pulsemart.operators import crm, hourly, mart, upsert
-from pulsemart.sources import generator
 
 AT = dt.datetime(2024, 3, 5, 10, 0)
 
@@ -126,31 +125,6 @@ def test_user_info_takes_the_newest_hour(spark):
     assert by(found, "user_id")[("nobody",)].customer_name is None
 
 
-def test_generated_mart_is_repeatable(spark):
-    devices = crm.mart_source(owners(spark), allow_empty_chip=False)
-    a = generator.mart_rows(devices, "2024-03-08")
-    b = generator.mart_rows(devices.repartition(7), "2024-03-08")
-    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
-    counts = {r["prosthesis_id"]: r["count"] for r in a.groupBy("prosthesis_id").count().collect()}
-    assert counts == {1: 98, 2: 98, 3: 98, 4: 98}
-    hours = a.selectExpr("min(report_hour) lo", "max(report_hour) hi", "count(distinct report_date) days").first()
-    assert (hours.lo, hours.hi, hours.days) == (8, 21, 7)
-    assert generator.mart_rows(devices, "2024-03-08", seed=2).exceptAll(a).count() > 0
-
-
-def test_generated_samples(spark):
-    devices = spark.createDataFrame([("c1",), ("c2",)], "chip_id string")
-    raw = generator.raw_samples(devices, "2024-03-08")
-    per_hour = raw.groupBy("chip_id", "session_id").count().selectExpr("min(count) lo", "max(count) hi", "count(*) n").first()
-    assert per_hour.lo >= 10 and per_hour.hi <= 29 and per_hour.n == 2 * 7 * 15
-    stats = hourly.aggregate(raw)
-    assert stats.count() == 2 * 7 * 15
-    bounds = raw.selectExpr(
-        "min(response_time_ms) a", "max(response_time_ms) b", "min(battery_level) c", "max(battery_level) d"
-    ).first()
-    assert (bounds.a >= 50, bounds.b <= 199, bounds.c >= 60, bounds.d <= 99) == (True,) * 4
-
-
 def test_seed_insert_is_idempotent(spark):
     new = seeds.models(spark)
     once = upsert.insert_if_absent(new.limit(0), new.unionByName(new), ["model_code"], ["model_id"])

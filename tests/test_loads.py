@@ -7,7 +7,7 @@ import seeds
 
 from pulsemart.operators import hourly, monitor, publish, rollup, upsert
 from pulsemart.plans import loads
-from pulsemart.sources import generator, mart_store, tables
+from pulsemart.sources import mart_store, tables
 from pulsemart.streaming import telemetry
 from pulsemart.streaming.triggers import DRAIN_ONCE, EVERY_QUARTER_HOUR
 
@@ -23,7 +23,7 @@ def shown(df, *drop):
 
 
 def test_batch_load_end_to_end(spark, path):
-    raw = generator.raw_samples(crm_tables(spark)["prostheses"].filter("chip_id <> ''").select("chip_id"), "2024-03-07")
+    raw = seeds.busy_samples(crm_tables(spark)["prostheses"].filter("chip_id <> ''").select("chip_id"), "2024-03-07")
     targets = {"rollup_path": path + "/rollup", "days_path": path + "/days", "documents_path": path + "/docs"}
     loads.load_hourly(spark, raw, path + "/hourly", AS_OF)
     # sampling starts on 1 March, the lookback reaches back to it
@@ -41,7 +41,7 @@ def test_batch_load_end_to_end(spark, path):
     assert shown(stored, "avg_response_time") == shown(rollup.daily(mart), "avg_response_time")
     assert spark.read.parquet(path + "/days").count() == 3 * 7
     docs = shown(publish.read(spark, path + "/docs"))
-    assert len(docs) == 3 * (7 + 2)
+    assert len(docs) == 3 * (7 + 2) + 4 * 7  # reports, and hours of each device
 
     # a later run over the same hours changes nothing but the stamp
     load(AS_OF + dt.timedelta(minutes=15))
@@ -108,7 +108,7 @@ def test_observed_load(spark, path):
 
 
 def test_stream_hourly_equals_batch(spark, path):
-    raw = generator.raw_samples(spark.createDataFrame([("c1",), ("c2",)], "chip_id string"), "2024-03-08")
+    raw = seeds.busy_samples(spark.createDataFrame([("c1",), ("c2",)], "chip_id string"), "2024-03-08")
     raw = raw.withColumn("warning_flags", raw.warning_flags.cast("int"))
 
     def run():

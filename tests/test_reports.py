@@ -7,7 +7,7 @@ import pytest
 import seeds
 
 from pulsemart.operators import profiles, publish, report, rollup
-from pulsemart.sources import generator, mart_store
+from pulsemart.sources import mart_store
 
 D1, D2, D3 = dt.date(2024, 3, 5), dt.date(2024, 3, 6), dt.date(2024, 3, 9)
 
@@ -49,7 +49,7 @@ def test_merging_parts_equals_the_whole(spark):
         [("u1", 1, "c1"), ("u1", 2, "c2"), ("u2", 3, "c3")], "user_id string, prosthesis_id long, chip_id string"
     ).selectExpr("*", *[f"user_id {c}" for c in (
         "customer_name", "customer_email", "customer_region", "customer_branch", "prosthesis_model", "prosthesis_category", "prosthesis_serial")])
-    rows = generator.mart_rows(devices, "2024-03-08")
+    rows = seeds.busy_mart(devices, "2024-03-08")
     parts = [rollup.daily_partials(rows.filter(f"pmod(report_hour, 3) = {i}")) for i in range(3)]
     merged = rollup.merge(parts[0].unionByName(parts[1]).unionByName(parts[2]), rollup.DAILY_KEYS)
     again = rollup.merge(merged, rollup.DAILY_KEYS)
@@ -115,26 +115,27 @@ def test_list_document(spark):
 
 
 def test_daily_document(spark):
-    doc = by(report.daily_document(mart(spark)), "user_id", "report_date")["ada", D1]
-    assert (doc.page, doc.total_movements, doc.active_hours) == (0, 40, 2)
-    assert [(h.hour, h.movements_count) for h in doc.hourly_stats] == [(8, 10), (9, 10), (9, 20)]
-    assert "prosthesis_id" not in doc.hourly_stats[0].asDict()
+    docs = [d for d in report.daily_document(mart(spark)).collect() if (d.user_id, d.report_date) == ("ada", D1)]
+    assert {(d.total_movements, d.active_hours) for d in docs} == {(40, 2)}
+    hours = sorted((h.hour, h.movements_count) for d in docs for h in d.hourly_stats)
+    assert hours == [(8, 10), (9, 10), (9, 20)]
+    assert all(d.hourly_stats == sorted(d.hourly_stats) for d in docs)
 
 
-def test_long_documents_are_paged_whole(spark):
+def test_documents_have_one_form_for_all_sizes(spark):
     devices = 37
     rows = seeds.mart(
         spark, [seeds.mart_row("fleet", d, D1, h) for d in range(devices) for h in range(24)] + [seeds.mart_row("ada", 1, D1, 1)]
     )
-    docs = report.daily_document(rows, page_rows=10).collect()
-    whole = [d for d in docs if d.user_id == "ada"]
-    assert [d.page for d in whole] == [0]
-    pages = sorted((d for d in docs if d.user_id == "fleet"), key=lambda d: d.page)
-    assert len(pages) > 24 and len({d.page for d in pages}) == len(pages)
-    assert all(d.total_movements == devices * 24 * 10 for d in pages)
-    hours = [h.hour for d in pages for h in d.hourly_stats]
-    assert len(hours) == devices * 24 and hours == sorted(hours)
-    assert max(len(d.hourly_stats) for d in pages) < devices
+    docs = by(publish.documents(rows, "daily"), "object_key")
+    folder = f"fleet/daily/{D1}"
+    assert set(k for (k,) in docs) == {
+        f"{folder}/report.json", *(f"{folder}/hours-{d}.json" for d in range(devices)),
+        f"ada/daily/{D1}/report.json", f"ada/daily/{D1}/hours-1.json",
+    }
+    assert json.loads(docs[(f"{folder}/report.json",)].body)["total_movements"] == devices * 24 * 10
+    hours = json.loads(docs[(f"{folder}/hours-36.json",)].body)["hourly_stats"]
+    assert [h["hour"] for h in hours] == list(range(24))
 
 
 def test_scope(spark):
@@ -173,14 +174,16 @@ def test_publish_read_and_missing(spark, path):
     out = path + "/docs"
     publish.refresh(spark, mart(spark), out)
     docs = by(publish.read(spark, out), "object_key")
-    assert set(k for (k,) in docs if k.startswith("ada/")) == {
+    assert set(k for (k,) in docs if k.startswith("ada/") and "/hours-" not in k) == {
         "ada/list/reports.json",
         "ada/summary/summary.json",
         *(f"ada/daily/{d}/report.json" for d in (D1, D2, D3)),
     }
     body = json.loads(docs[(f"cleo/daily/{D1}/report.json",)].body)
-    assert body["report_date"] == str(D1) and body["hourly_stats"][0]["hour"] == 8
-    assert publish.read(spark, out, "daily", "ada").count() == 3
+    assert body["report_date"] == str(D1)
+    hours = [json.loads(d.body)["hourly_stats"] for (k,), d in docs.items() if k.startswith(f"cleo/daily/{D1}/hours-")]
+    assert min(h["hour"] for part in hours for h in part) == 8
+    assert publish.read(spark, out, "daily", "ada").filter("prosthesis_id IS NULL").count() == 3
     wanted = spark.createDataFrame([("ada", D1), ("ada", dt.date(2024, 1, 1))], "user_id string, report_date date")
     assert [r.report_date for r in publish.missing(wanted, publish.read(spark, out, "daily")).collect()] == [dt.date(2024, 1, 1)]
 
