@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,8 @@ from .common import checkpoint, text_or_empty
 
 #: Band of document frequencies, as shares of all documents: idf = -ln(share).
 RAREST, COMMONEST = 0.0005, 0.05
-#: The lexicon holds so many terms at most (see `lexicon`), each of TERM_CHARS code points at most.
+#: So many terms are sent to all tasks at most; the rest of the band is joined by a shuffle (see `lexicon`).
 MAX_LEXICON = 100_000
-TERM_CHARS = 40
 #: Randomised lexicons: one term in so many, each rate with PER_RATE seeds.
 RATES = (16, 32, 64, 192)
 PER_RATE = 8
@@ -26,42 +27,57 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""))
 
 
-def lexicon(docs: DataFrame) -> DataFrame:
-    """term, h, mask (bit k: the term is in lexicon k) of the terms within the frequency band.
+def lexicon(docs: DataFrame, most: int = MAX_LEXICON) -> tuple[DataFrame, DataFrame | None]:
+    """h, mask (bit k: the term is in lexicon k) of all terms within the frequency band, in two tables.
 
-    Of the terms of the band, those that make up 1 in MAX_LEXICON of its postings or more are taken, which can be
-    MAX_LEXICON at most, whatever the corpus. So the table is small by construction.
+    Terms are counted as they are and then known by 64-bit hashes, however long. The first table has the most frequent ones, `most` rows at
+    most, and is sent to all tasks; it also holds terms above the band (mask 0), so that their places needn't be joined.
+    The second has the rest of the band, for a shuffled join, and is None where nothing is left. Frequencies are cut
+    between bins of 1/64 of a doubling, of which there are few.
     """
     n = docs.count()
-    held = docs.select(F.explode(terms(F.col("text"))).alias("term")).filter(F.length("term") <= TERM_CHARS)
-    counts = held.groupBy("term").agg(F.count("*").alias("df"))
-    counts = checkpoint(counts.filter((F.col("df") >= max(2.0, RAREST * n)) & (F.col("df") <= max(2.0, COMMONEST * n))))
-    postings = counts.agg(F.sum("df")).first()[0] or 0
-    h = F.xxhash64("term")
+    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     mask = F.lit(0).cast("long")
     for k in range(LEXICONS):
         chosen = F.pmod(F.xxhash64("term", F.lit(k)), F.lit(RATES[k // PER_RATE])) == 0
         mask = mask.bitwiseOR(F.when(chosen, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return counts.filter(F.col("df") * MAX_LEXICON >= postings).select("term", h.alias("h"), mask.alias("mask"))
-
-
-def digests(texts: DataFrame, terms_of: DataFrame, keys: list[str]) -> DataFrame:
+    mask = F.when(F.col("df") <= max(2.0, COMMONEST * n), mask).otherwise(F.lit(0).cast("long"))
+    counts = counts.filter(F.col("df") >= max(2.0, RAREST * n))
+    counts = checkpoint(counts.select(F.xxhash64("term").alias("h"), mask.alias("mask"), F.floor(F.log2("df") * 64).cast("long").alias("bin")))
+    edge, held = 0, 0
+    for r in sorted(counts.groupBy("bin").agg(F.count("*").alias("terms")).collect(), reverse=True):
+        held += r.terms
+        if held > most:
+            edge = r.bin + 1
+            break
+    rest = counts.filter((F.col("bin") < edge) & (F.col("mask") != 0)).select("h", "mask") if edge else None
+    return counts.filter(F.col("bin") >= edge).select("h", "mask"), rest
+
+
+def digests(texts: DataFrame, terms_of: tuple[DataFrame, DataFrame | None], keys: list[str], told_by: list[str]) -> DataFrame:
     """keys, digests (a number for each lexicon, 0 where none of its terms occurs) of each distinct keys of texts (keys, text).
 
     A digest is the exclusive or of the hashes of the distinct terms. It depends on the set of terms alone, as the hash
-    of the sorted terms does, and is reduced map-side. Texts that share keys must be equal.
+    of the sorted terms does, and is reduced map-side. Terms that are not sent to all tasks are joined by a shuffle, and
+    what they add is joined by `told_by`, two of the keys. Texts that share keys, or what tells them, must be equal.
     """
+    frequent, rest = terms_of
     parts = [
-        F.bit_xor(F.when(F.col("mask").bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.col("h")).otherwise(F.lit(0)))
+        F.bit_xor(F.when(F.col("mask").bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.col("h")).otherwise(F.lit(0))).alias(f"d{k}")
         for k in range(LEXICONS)
     ]
-    return (
-        texts.select(*keys, F.explode_outer(terms(F.col("text"))).alias("term"))
-        .join(F.broadcast(terms_of), "term", "left")  # MAX_LEXICON rows at most
-        .groupBy(*keys)
-        .agg(*[p.alias(f"d{k}") for k, p in enumerate(parts)])
-        .select(*keys, F.array(*[F.xxhash64(f"d{k}").bitwiseAND(0x7FFFFFFF).cast("int") * (F.coalesce(f"d{k}", F.lit(0)) != 0).cast("int") for k in range(LEXICONS)]).alias("digests"))
-    )
+    held = texts.select(*keys, F.explode_outer(terms(F.col("text"))).alias("term")).withColumn("h", F.xxhash64("term"))
+    out = held.join(F.broadcast(frequent), "h", "left").groupBy(*keys).agg(*parts)  # MAX_LEXICON rows at most
+    if rest is not None:
+        places = texts.select(*told_by, F.explode(terms(F.col("text"))).alias("term")).select(*told_by, F.xxhash64("term").alias("h"))
+        places = places.join(F.broadcast(frequent), "h", "left_anti").join(rest, "h").distinct()
+        more = places.groupBy(*told_by).agg(*parts)
+        more = more.select(*[F.col(c).alias(f"{c}_") for c in told_by], *[F.col(f"d{k}").alias(f"r{k}") for k in range(LEXICONS)])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in told_by])
+        out = out.join(more, same, "left").withColumns(
+            {f"d{k}": F.coalesce(f"d{k}", F.lit(0)).bitwiseXOR(F.coalesce(f"r{k}", F.lit(0))) for k in range(LEXICONS)}
+        )
+    return out.select(*keys, F.array(*[F.xxhash64(f"d{k}").bitwiseAND(0x7FFFFFFF).cast("int") * (F.coalesce(f"d{k}", F.lit(0)) != 0).cast("int") for k in range(LEXICONS)]).alias("digests"))
 
 
 def likeness(a: Column, b: Column, same_text: Column) -> Column:
@@ -122,19 +138,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     return out.union(alone)
 
 
-def compared(docs: DataFrame) -> DataFrame:
+def compared(docs: DataFrame, most: int = MAX_LEXICON) -> DataFrame:
     """Fingerprints of each row of docs (doc_id, text), of its edited text, and how alike they and the next document's are.
 
     The edited text has the last half of the code points replaced by the first as many of the next document (by
-    descending doc_id). Built-in functions throughout: document frequencies are counted map-side first, the lexicon is a
-    bounded broadcast, texts are shuffled once (to meet their neighbours), and after that only digests are.
+    descending doc_id). Built-in functions throughout: document frequencies are counted map-side first, the `most`
+    frequent terms of the lexicon are broadcast and only places of others are shuffled, texts are shuffled once (to meet
+    their neighbours), and after that only digests are.
 
     A null text is an empty one. Texts without terms of the lexicon (empty ones too) have the hash of the whole text as
     their fingerprint, and are alike (1) where they are equal and not (0) otherwise. Other columns are not read; an empty table gives
     an empty result.
     """
     source = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    terms_of = checkpoint(lexicon(source))
+    terms_of = lexicon(source, most)
     edited = F.expr("concat(substring(text, 1, n_chars - half), substring(next_text, 1, half))")
     facts = ["row", "doc_id", "version", "next_id", "next_version", "edited_version", "n_chars", "edited_sha256"]
     both = (
@@ -148,8 +165,8 @@ def compared(docs: DataFrame) -> DataFrame:
         .withColumns({"edited_sha256": F.sha2("edited", 256), "edited_version": F.xxhash64("edited")})
         .withColumnRenamed("edited", "text")
     )
-    changed = digests(both, terms_of, facts)
-    plain = digests(source.withColumn("version", F.xxhash64("text")), terms_of, ["doc_id", "version"])
+    changed = digests(both, terms_of, facts, ["doc_id", "edited_version"])
+    plain = digests(source.withColumn("version", F.xxhash64("text")), terms_of, ["doc_id", "version"], ["doc_id", "version"])
     own = plain.select(F.col("doc_id").alias("own_id"), F.col("version").alias("own_version"), F.col("digests").alias("own"))
     following = plain.select(F.col("doc_id").alias("f_id"), F.col("version").alias("f_version"), F.col("digests").alias("next"))
     return (

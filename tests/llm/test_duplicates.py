@@ -167,6 +167,36 @@ def test_fingerprints_tell_edits_from_strangers(spark):
         by_print.setdefault(r.fingerprint, r)
 
 
+def brute_band(texts):
+    """For each text the set of its terms within the band, and all terms within or above it."""
+    sets = [{w for w in re.split(r"[\W_]+", t.lower()) if w} for t in texts]
+    df = {}
+    for s in sets:
+        for w in s:
+            df[w] = df.get(w, 0) + 1
+    low, high = max(2.0, imatch.RAREST * len(texts)), max(2.0, imatch.COMMONEST * len(texts))
+    return [{w for w in s if low <= df[w] <= high} for s in sets], {w for w in df if df[w] >= low}
+
+
+def test_the_whole_band_counts_however_frequent_or_long_its_terms_are(spark):
+    """Texts with the same terms of the band have the same fingerprint, and others, by the rarest and longest terms alone, don't."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample([f"w{k}" for k in range(400)], 12)) for _ in range(300)]
+    texts += [f"rare{k // 2} {'long' * 12}{k // 2}" for k in range(100)]
+    docs = documents(spark, texts)
+    whole = {r.doc_id: r.fingerprint for r in imatch.compared(docs).collect()}
+    band, known = brute_band(texts)
+    assert all(band[300 + k] == {f"rare{k // 2}", "long" * 12 + f"{k // 2}"} for k in range(100))
+    for most in (0, 40, 300):
+        _, rest = imatch.lexicon(docs, most)
+        assert rest is not None and rest.count() > 0
+        assert {r.doc_id: r.fingerprint for r in imatch.compared(docs, most).collect()} == whole
+    frequent, rest = imatch.lexicon(docs)
+    assert rest is None and frequent.count() == len(known)
+    told = [whole[301 + k] for k in range(100) if not whole[301 + k].startswith("text:")]
+    assert len(told) > 80 and len(set(told)) == len(told) // 2
+
+
 def test_no_documents(no_documents):
     assert minhash.near_duplicates(no_documents).count() == 0
     assert lines.line_digests(no_documents).count() == 0
