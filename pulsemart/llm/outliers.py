@@ -11,8 +11,8 @@ from .common import BLANK, checkpoint, text_or_empty
 
 #: Words a document needs, and the share of words in repeated three-word windows (percent) it may have.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Documents a group needs for an estimate of its own. Those of smaller groups are pooled by language, then altogether;
-#: without so many in all, nothing is rejected.
+#: Documents a group needs for an estimate of its own. Those of smaller groups are held against that of their whole
+#: language, then of all documents, which is regularised where there are fewer than this even so.
 MIN_GROUP = 200
 #: Rows of sources or estimates that are sent to all tasks, about 300 bytes each.
 FEW_GROUPS = 20_000
@@ -121,8 +121,10 @@ def _closest(rows: DataFrame) -> DataFrame:
     return (
         rows.withColumn("bin", _bin(F.col("squared")))
         .groupBy("group")
-        .agg(F.percentile("bin", F.lit(CORE)).alias("edge"), F.percentile("bin", F.lit(0.5)).alias("mid"))
-        .select("group", "edge", (F.lit(MEDIAN) / middle).alias("scale"))
+        .agg(F.count("*").alias("n"), F.percentile("bin", F.lit(CORE)).alias("edge"), F.percentile("bin", F.lit(0.5)).alias("mid"))
+        .withColumn("scale", F.lit(MEDIAN) / middle)
+        # the median of a few documents, copies perhaps, must not undo the smallest spread
+        .select("group", "edge", F.when(F.col("n") < MIN_GROUP, F.least("scale", F.lit(1.0))).otherwise(F.col("scale")).alias("scale"))
     )
 
 
@@ -132,7 +134,10 @@ def _first_distance() -> Column:
 
 
 def _covariance(rows: DataFrame) -> DataFrame:
-    """group and the Cholesky factor (l_i_j) and means (mean_i) of the rows of each group, from exact sums."""
+    """group and the Cholesky factor (l_i_j) and means (mean_i) of the rows of each group, from exact sums.
+
+    Covariances of a core of fewer documents than that of a group of MIN_GROUP shrink towards 0, the more the fewer.
+    """
     p = range(len(FEATURES))
     sums = [F.sum(F.col(FEATURES[i]).cast("decimal(19,0)")).alias(f"s_{i}") for i in p]
     squares = [
@@ -140,10 +145,11 @@ def _covariance(rows: DataFrame) -> DataFrame:
     ]
     out = rows.groupBy("group").agg(F.count("*").alias("n"), *sums, *squares)
     out = out.withColumns({f"mean_{i}": F.col(f"s_{i}").cast("double") / F.col("n") for i in p})
+    shrunk = F.least(F.col("n") / F.lit(MIN_GROUP * CORE), F.lit(1.0))
     out = out.withColumns(
         {
-            f"c_{i}_{j}": F.col(f"s_{i}_{j}").cast("double") / F.col("n")
-            - F.col(f"mean_{i}") * F.col(f"mean_{j}")
+            f"c_{i}_{j}": (F.col(f"s_{i}_{j}").cast("double") / F.col("n") - F.col(f"mean_{i}") * F.col(f"mean_{j}"))
+            * (F.lit(1.0) if i == j else shrunk)
             + F.lit(float(FLOOR * FLOOR if i == j else 0))
             for i in p
             for j in p
@@ -177,19 +183,24 @@ def _with_distance(rows: DataFrame) -> DataFrame:
 
 
 def groups(found: DataFrame) -> DataFrame:
-    """lang, source, group: which estimate the documents of each language and source are held against."""
-    counts = checkpoint(found.filter("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n")))
-    small = counts.filter(F.col("n") < MIN_GROUP)
-    pools = small.groupBy(F.col("lang").alias("pool")).agg(F.sum("n").alias("pooled"))
-    rest = pools.filter(F.col("pooled") < MIN_GROUP).agg(F.sum("pooled")).first()[0] or 0
-    last = F.lit("all") if rest >= MIN_GROUP else F.lit(None)
-    return counts.join(pools, F.col("lang").eqNullSafe(F.col("pool")), "left").select(
+    """lang, source, group (which estimate the documents of each language and source are held against) and feeds (which
+    estimates those that pass the base rules go into). The estimate of a language or of all is of all its documents, and
+    is only made where a smaller group needs it."""
+    passing = F.sum((~F.col("base_failed")).cast("long"))
+    counts = checkpoint(found.groupBy("lang", "source").agg(passing.alias("n")))
+    small = F.col("n") < MIN_GROUP
+    pools = counts.groupBy(F.col("lang").alias("pool")).agg(F.sum("n").alias("pooled"), F.max(small).alias("needed"))
+    pools = checkpoint(pools.withColumn("few", F.col("pooled") < MIN_GROUP))
+    last = bool(pools.agg(F.max("few")).first()[0])
+    own = F.concat(F.lit("source "), F.to_json(F.struct("lang", "source")))
+    whole = F.concat(F.lit("language "), F.to_json(F.struct("lang")))
+    every = F.lit("all")
+    feeds = [F.when(~small, own), F.when(F.col("needed") & ~F.col("few"), whole), F.when(F.lit(last), every)]
+    return counts.join(pools, F.col("lang").eqNullSafe(F.col("pool"))).select(
         "lang",
         "source",
-        F.when(F.col("n") >= MIN_GROUP, F.to_json(F.struct("lang", "source")))
-        .when(F.col("pooled") >= MIN_GROUP, F.to_json(F.struct("lang")))
-        .otherwise(last)
-        .alias("group"),
+        F.when(~small, own).when(~F.col("few"), whole).otherwise(every).alias("group"),
+        F.array_compact(F.array(*feeds)).alias("feeds"),
     )
 
 
@@ -199,8 +210,8 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def _placed(rows: DataFrame, by_source: DataFrame) -> DataFrame:
-    """rows with their group."""
-    known = by_source.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "group")
+    """rows with their group and feeds."""
+    known = by_source.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "group", "feeds")
     same = F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
     return rows.join(_small(known), same, "left").drop("lang_", "source_")
 
@@ -212,8 +223,8 @@ def estimates(found: DataFrame, by_source: DataFrame) -> DataFrame:
     estimates means and covariances from it. Squared distances are scaled so that their median is that of the
     chi-squared law. Each small table of estimates is checkpointed, since the next one uses it twice.
     """
-    rows = _placed(found.filter("NOT base_failed"), by_source).filter(F.col("group").isNotNull())
-    rows = checkpoint(rows.select("group", *FEATURES))
+    rows = _placed(found.filter("NOT base_failed"), by_source)
+    rows = checkpoint(rows.select(F.explode("feeds").alias("group"), *FEATURES))
     middle = checkpoint(rows.groupBy("group").agg(*[F.percentile(f, F.lit(0.5)).alias(f"mid_{f}") for f in FEATURES]))
     away = rows.join(middle, "group").select("group", *[F.abs(F.col(f) - F.col(f"mid_{f}")).alias(f) for f in FEATURES])
     spread = away.groupBy("group").agg(
@@ -230,8 +241,8 @@ def estimates(found: DataFrame, by_source: DataFrame) -> DataFrame:
 
 
 def judged(found: DataFrame, by_source: DataFrame, estimated: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """found with `distance` (scaled and squared; null without an estimate) and `kept`."""
-    rows = _with_distance(_placed(found, by_source).join(_small(estimated), "group", "left"))
+    """found with `distance` (scaled and squared; null only where no document at all passes the base rules) and `kept`."""
+    rows = _with_distance(_placed(found, by_source).drop("feeds").join(_small(estimated), "group", "left"))
     distance = F.col("squared") * F.col("scale")
     # one comparison of both verdicts: alone, the base rules would be pushed down as a filter that repeats their work
     worst = F.greatest(F.col("base_failed").cast("double") * 1e300, F.coalesce("distance", F.lit(0.0)))

@@ -105,6 +105,24 @@ def test_estimate_follows_the_core(spark):
     assert abs(np.median(squared) / np.median(exact) - 1) < 0.35
 
 
+@pytest.mark.parametrize(("large", "lang"), [(600, "en"), (600, "xx"), (40, "en"), (40, None)])
+def test_small_groups_are_judged(spark, large, lang):
+    """A small source is held against its language and a rare language against all, also where all are few or copies."""
+    rng = np.random.default_rng(4)
+    rows = [("en", "hot", False, *map(int, r)) for r in rng.normal(0, 400, (large, len(outliers.FEATURES)))]
+    rows += [("en", None, False, *[100] * len(outliers.FEATURES))] * 30
+    rows += [(lang, "rare", False, *[value] * len(outliers.FEATURES)) for value in (0, 9000)]
+    rows += [("zz", "none", True, *[0] * len(outliers.FEATURES))]
+    schema = "lang string, source string, base_failed boolean, " + ", ".join(f"{f} long" for f in outliers.FEATURES)
+    found = spark.createDataFrame(rows, schema)
+    by_source = outliers.groups(found)
+    judged = outliers.judged(found, by_source, outliers.estimates(found, by_source)).collect()
+    assert len(judged) == len(rows) and all(r.distance is not None for r in judged)
+    assert {r[outliers.FEATURES[0]]: r.kept for r in judged if r.source == "rare"} == {0: True, 9000: False}
+    assert np.mean([r.kept for r in judged if r.lang == "en" and r.source != "rare"]) > 0.98
+    assert not any(r.kept for r in judged if r.lang == "zz")
+
+
 def test_quality_verdict_against_labels(spark):
     rows = outliers.verdicts(table(spark, MORE, "documents")).filter("NOT base_failed").join(table(spark, MORE, "labels"), "doc_id")
     shares = defaultdict(list)
