@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_batches, ship_package, text_or_empty
+from .common import Memo, checkpoint, map_batches, ship_package, text_or_empty
 
 #: Insults as any word list of moderation tools has them: voters before anything is learned.
 INSULTS = """
@@ -23,8 +25,13 @@ ADDRESSED = {
     "shut up": r"\b(?:shut up|get lost|go away|drop dead)\b",
     "people like you": r"\b(?:people|someone) like you\b",
 }
-#: Labelled documents that are learned from: all of them up to this bound, then those of the smallest id hashes.
+#: Labelled documents that the label model and the classifier are fitted on: all of them up to this bound, then those of
+#: the smallest id hashes. Patterns are counted in all labelled documents.
 MAX_TRAINING = 20_000
+#: Labels of so many documents are sent to all tasks at most, and joined by a shuffle beyond.
+FEW_LABELS = 500_000
+#: Patterns a task counts before it passes them on, and letters of a whole word that are kept beside its hash.
+MAX_COUNTED, WORD_CHARS = 200_000, 40
 #: Voters found in labelled documents (words and word beginnings that stand almost only in toxic ones) at most.
 MAX_VOTERS = 512
 #: A found voter stands in so many toxic documents at least, with this smoothed share of all documents that hold it.
@@ -39,8 +46,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def patterns_of(word: str) -> list[str]:
-    """A word (marked as whole) and its beginnings."""
-    return [f"{word}$", *(word[:k] for k in BEGINNINGS if k <= len(word))]
+    """A word (marked as whole; a long one by its start and hash) and its beginnings."""
+    whole = word
+    if len(word) > WORD_CHARS:
+        whole = f"{word[:WORD_CHARS]}#{hashlib.blake2b(word.encode('utf-8', 'replace'), digest_size=16).hexdigest()}"
+    return [f"{whole}$", *(word[:k] for k in BEGINNINGS if k <= len(word))]
 
 
 def in_training_fold(doc_id):
@@ -48,41 +58,52 @@ def in_training_fold(doc_id):
 
 
 def _distinct_words(text: str) -> set[str]:
-    return {w for w in _WORD.findall(text.lower()) if len(w) <= 40}
+    return set(_WORD.findall(text.lower()))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """A model from docs (doc_id, text) and labels (doc_id, toxic): voters, weights and a scale.
 
-    Only labels of the training fold are read. Frequencies of patterns by class are counted in Spark; the driver gets
-    the best MAX_VOTERS of them and the votes on MAX_TRAINING documents, both bounded.
+    Only labels of the training fold are read. Frequencies of patterns by class are counted in Spark over all of them;
+    the driver gets the best MAX_VOTERS patterns and the votes on MAX_TRAINING documents, both bounded. A found voter that
+    those documents hardly show is weighted by its counts: alone it scores its smoothed share of toxic documents.
     """
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & in_training_fold(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
     )
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    few = known.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    labelled = texts.join(F.broadcast(known) if few else known, "doc_id").drop("doc_id")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAINING)
-    # at most MAX_TRAINING rows of two numbers
-    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").drop("doc_id")
+    chosen = texts.join(F.broadcast(sample), "doc_id").drop("doc_id")  # at most MAX_TRAINING rows of two numbers
+
+    def count(batches):
+        number, toxic, patterns = Counter(), Counter(), Memo(lambda w: tuple(patterns_of(w)))
+
+        def counted():
+            return {"pattern": list(number), "t": [toxic[p] for p in number], "n": list(number.values())}
 
-    def explode(batches):
         for batch in batches:
-            pattern, toxic = [], []
             for text, label in zip(batch["text"], batch["toxic"], strict=True):
-                found = {p for w in _distinct_words(text) for p in patterns_of(w)}
-                pattern += found
-                toxic += [label] * len(found)
-            yield {"pattern": pattern, "toxic": toxic}
+                found = set().union(*map(patterns.__getitem__, _distinct_words(text)))
+                number.update(found)
+                if label:
+                    toxic.update(found)
+                if len(number) >= MAX_COUNTED:
+                    yield counted()
+                    number, toxic = Counter(), Counter()
+        yield counted()
 
     counts = (
-        map_batches(chosen, explode, "pattern string, toxic long")
+        map_batches(labelled, count, "pattern string, t long, n long")
         .groupBy("pattern")
-        .agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+        .agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
         .filter((F.col("t") >= MIN_SUPPORT) & (F.col("t") >= MIN_PRECISION * (F.col("n") + 1)))
     )
-    found = counts.orderBy(F.desc("t"), F.length("pattern"), "pattern").limit(4 * MAX_VOTERS).collect()
-    voters = [f"{w}$" for w in INSULTS] + _shortest({r.pattern: r.t for r in found}, MAX_VOTERS)
+    best = _shortest(checkpoint(counts)).orderBy(F.desc("t"), F.length("pattern"), "pattern").limit(MAX_VOTERS).collect()
+    voters = [f"{w}$" for w in INSULTS] + [r.pattern for r in best]
     voters = list(dict.fromkeys(voters))
     voter = Voter(voters)
 
@@ -99,19 +120,26 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     weights, bias = linear_fit(votes, posterior)
     margin = votes @ weights + bias
     slope, shift = scale_fit(margin, toxic)
-    return {"voters": voters, "weights": (weights * slope).tolist(), "bias": float(bias * slope + shift)}
-
-
-def _shortest(support: dict[str, int], most: int) -> list[str]:
-    """Patterns in order, without those that are the longer form of one that stands in as many documents."""
-    out: list[str] = []
-    for pattern in support:
-        stem = pattern.rstrip("$")
-        if not any(stem.startswith(o) and support[o] >= support[pattern] for o in out if o != pattern):
-            out.append(pattern)
-        if len(out) == most:
-            break
-    return out
+    weights, bias = weights * slope, float(bias * slope + shift)
+    shown, number = votes.sum(axis=0), {p: i for i, p in enumerate(voters)}
+    for r in best:
+        if shown[number[r.pattern]] < MIN_SUPPORT:
+            share = r.t / (r.n + 1)
+            weights[number[r.pattern]] = np.log(share / (1 - share)) - bias
+    return {"voters": voters, "weights": weights.tolist(), "bias": bias}
+
+
+def _shortest(counts: DataFrame) -> DataFrame:
+    """counts (pattern, others) without patterns of which a beginning is there too: it stands in as many documents."""
+    stem = F.regexp_replace("pattern", r"\$$", "")
+    starts = F.array(*[F.substring(stem, 1, k) for k in BEGINNINGS])
+    longer = (
+        counts.select("pattern", F.explode(F.array_distinct(starts)).alias("start"))
+        .filter((F.col("start") != F.col("pattern")) & (F.length("start") >= BEGINNINGS[0]))
+        .join(counts.select(F.col("pattern").alias("start")), "start")
+        .select("pattern")
+    )
+    return counts.join(longer, "pattern", "left_anti")
 
 
 class Voter:

@@ -165,6 +165,20 @@ def test_toxicity_on_held_out_documents(spark):
     assert hits >= 0.7 * sum(r.toxic for r in rows) and hits >= 0.9 * sum(r.predicted for r in rows)
 
 
+def test_voters_come_from_all_labelled_documents(spark, monkeypatch):
+    """Rare words that the fit's documents don't show, and runs of over 40 letters, become voters that reject."""
+    monkeypatch.setattr(toxicity, "MAX_TRAINING", 20)
+    run = "ни" * 30
+    rows = [(i, ["a fine day", "a fine day zorgle you", f"a {run} day"][i % 40 if i % 40 < 3 else 0], int(i % 40 in (1, 2))) for i in range(2000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    predicted = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    assert predicted == {r[0]: r[2] for r in rows}
+    patterns = ["zor", "zorg", "zorgle$", "fig$", "figs$", "ig$", "ig"]
+    kept = toxicity._shortest(spark.createDataFrame([(p, 5) for p in patterns], "pattern string, t long"))
+    assert {r.pattern for r in kept.collect()} == {"zor", "fig$", "figs$", "ig$", "ig"}
+
+
 def test_toxicity_of_odd_rows(odd, no_documents, no_labels):
     rows = toxicity.toxicity(odd, no_labels).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
