@@ -52,11 +52,32 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Spark's own setting to remove a query's shuffle files when it ends, rather than whenever the driver's garbage goes.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: as checkpoint(), compressed. Stays until that folder is cleared."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again: as checkpoint(), compressed, and without its shuffle files once it
+    is written. Stays until discard() or until that folder is cleared."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes the files of a table made by stored(), once nothing reads them any more."""
+    path = getattr(df, "_stored_at", None)
+    if path is not None:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, imatch, licenses, lines, minhash, outliers, packing, token_counts, toxicity
+from . import bpe, html_text, imatch, licenses, lines, minhash, outliers, packing, token_counts, toxicity, vector_codes
 from .common import table
 from .registry import query
 
@@ -79,3 +79,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_vector_codes", vector_codes.CODES_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Product codes of all vectors."""
+    return vector_codes.code_digests(table(spark, folder, "embeddings"))
