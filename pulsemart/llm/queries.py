@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, imatch, licenses, lines, minhash, outliers, packing, token_counts, toxicity, vector_codes
+from . import bpe, html_text, imatch, licenses, lines, minhash, outliers, packing, source_audit, token_counts, toxicity, vector_codes
 from .common import table
 from .registry import query
 
@@ -85,3 +85,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Product codes of all vectors."""
     return vector_codes.code_digests(table(spark, folder, "embeddings"))
+
+
+@query("op12_source_audit", source_audit.AUDIT_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of each source from the others of its language, and the terms that set it apart."""
+    return source_audit.audit(table(spark, folder, "documents"))
