@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, imatch, licenses, lines, minhash, outliers, packing, source_audit, token_counts, toxicity, vector_codes
+from . import bpe, html_text, imatch, licenses, lines, minhash, outliers, packing, source_audit, suffix_dedup, token_counts, toxicity, vector_codes
 from .common import table
 from .registry import query
 
@@ -91,3 +91,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """Divergence of each source from the others of its language, and the terms that set it apart."""
     return source_audit.audit(table(spark, folder, "documents"))
+
+
+@query("op13_suffix_dedup", suffix_dedup.REPEATS_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of an earlier one, removed."""
+    return suffix_dedup.repeat_digests(table(spark, folder, "documents"))
