@@ -20,11 +20,10 @@ BLOCK = 1 << 20
 #: Anchors that a task gathers before it hands them on.
 HELD = 2_000_000
 #: Bytes of a bucket that is sorted at once, about; an anchor of more is dealt out window by window.
-BUCKET = 4 << 20
+BUCKET = 1 << 20
 #: Rows up to this number are sent to all tasks; more are joined by a shuffle.
 FEW = 200_000
 
-_SLOT = np.array([COVER.index(r) if r in COVER else -1 for r in range(PERIOD)])
 _SHIFT = np.array(
     [
         [next(d for d in range(PERIOD) if (a + d) % PERIOD in COVER and (b + d) % PERIOD in COVER) for b in range(PERIOD)]
@@ -41,22 +40,30 @@ def _words(data: bytes) -> np.ndarray:
     return np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
 
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Rank of each value, equal for equal ones, from 1."""
+    return np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+
+
+def _prefix_ranks(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rank of the 16 bytes at each position."""
+    return _ranks(_ranks(words[at].astype(np.uint64)) << 32 | _ranks(words[at + 8].astype(np.uint64)))
+
+
 def cover_ranks(words: np.ndarray, n: int, depth: int) -> np.ndarray:
-    """Rank of the `depth` bytes or more at each cover position (remainder in COVER) of n bytes, by position; equal bytes
-    have equal ranks. Ranks of 16 bytes come from sorting them, ranks of twice the bytes from pairs of ranks."""
-    at = (np.arange(0, n + PERIOD, PERIOD)[:, None] + np.array(COVER)).reshape(-1)
+    """Rank of the `depth` bytes or more at each cover position (remainder in COVER) of n bytes, equal bytes having equal
+    ranks; 0 elsewhere. Ranks of 16 bytes come from sorting them, ranks of twice the bytes from pairs of ranks."""
+    at = (np.arange(0, n, PERIOD)[:, None] + np.array(COVER)).reshape(-1)
     at = at[at < n]
-    first, second = words[at].astype(np.uint64), words[at + 8].astype(np.uint64)
-    order = np.lexsort((second, first))
-    new = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-    rank = np.empty(len(at), np.int64)
-    rank[order] = np.concatenate([[1], 1 + np.cumsum(new)]) if len(at) else 0
-    known, step = 16, len(COVER)
+    rank = _prefix_ranks(words, at)
+    known, step = PERIOD, len(COVER)
     while known < depth and len(at) and rank.max() < len(at):
         after = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.int64)])
-        rank = np.unique((rank << 32) | after, return_inverse=True)[1] + 1
+        rank = _ranks(rank << 32 | after)
         known, step = 2 * known, 2 * step
-    return rank
+    out = np.zeros(n + 2 * PERIOD, np.int64)
+    out[at] = rank
+    return out
 
 
 def window_classes(data: bytes, at: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,32 +73,27 @@ def window_classes(data: bytes, at: np.ndarray, owner: np.ndarray, length: int)
     sorted by the rank of one cover position behind them, and the sorted remainders are merged two by two, each
     comparison by the ranks at the shift that takes both windows to the cover.
     """
-    padded = data + bytes(4 * PERIOD + length + 8)
-    words = _words(padded)
-    first, second = words[at].astype(np.uint64), words[at + 8].astype(np.uint64)
-    order = np.lexsort((second, first))
-    new = np.concatenate([[True], (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])])
-    group = np.empty(len(at), np.int64)
-    group[order] = np.cumsum(new) - 1
-    starts = np.flatnonzero(new)
-    several = np.minimum.reduceat(owner[order], starts) != np.maximum.reduceat(owner[order], starts)
-    tied = np.flatnonzero(several[group])
+    words = _words(data + bytes(4 * PERIOD + length + 8))
+    group = _prefix_ranks(words, at)
+    order = np.argsort(group)
+    starts = np.flatnonzero(np.diff(group[order], prepend=0))
+    several = np.minimum.reduceat(owner[order], starts) != np.maximum.reduceat(owner[order], starts) if len(at) else starts
+    tied = np.flatnonzero(several[group - 1]) if len(at) else order
     if not len(tied):
         return tied, np.empty(0, bool)
-    rank = np.concatenate([cover_ranks(words, len(data), length), np.zeros(2 * len(COVER), np.int64)])
-    rest = at % PERIOD
-
-    def rank_at(position: np.ndarray) -> np.ndarray:
-        return rank[position // PERIOD * len(COVER) + _SLOT[position % PERIOD]]
+    rank = cover_ranks(words, len(data), length)
+    at, group, rest = at[tied], group[tied], at[tied] % PERIOD
 
     def merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         low, high = np.searchsorted(group[y], group[x], "left"), np.searchsorted(group[y], group[x], "right")
-        while len(open_ := np.flatnonzero(low < high)):
-            middle = (low[open_] + high[open_]) // 2
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
             here, there = x[open_], y[middle]
             shift = _SHIFT[rest[here], rest[there]]
-            less = rank_at(at[there] + shift) < rank_at(at[here] + shift)
+            less = rank[at[there] + shift] < rank[at[here] + shift]
             low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
+            open_ = open_[low[open_] < high[open_]]
         out = np.empty(len(x) + len(y), np.int64)
         # windows equal in all that counts may differ behind it, for one shift and not for another: any order will do
         places = np.maximum.accumulate(low) + np.arange(len(x))
@@ -100,28 +102,29 @@ def window_classes(data: bytes, at: np.ndarray, owner: np.ndarray, length: int)
         out[places], out[free] = x, y
         return out
 
-    lists = []
-    for r in range(PERIOD):
-        mine = tied[rest[tied] == r]
-        lists.append(mine[np.lexsort((rank_at(at[mine] + _SHIFT[r, r]), group[mine]))])
+    near = rank[at + _SHIFT[rest, rest]]
+    order = np.argsort(group << 32 | near)
+    order = order[np.argsort(rest[order].astype(np.int8), kind="stable")]  # radix: sixteen values
+    lists = np.split(order, np.searchsorted(rest[order], np.arange(1, PERIOD)))
     while len(lists) > 1:
         lists = [merged(a, b) for a, b in zip(lists[::2], lists[1::2], strict=True)]
     order = lists[0]
     spots = at[order]
     same = group[order][1:] == group[order][:-1]
     for k in {*range(PERIOD, length - 7, 8), length - 8}:
-        same &= words[spots[1:] + k] == words[spots[:-1] + k]
-    return order, np.concatenate([[True], ~same])
+        here = words[spots + k]
+        same &= here[1:] == here[:-1]
+    return tied[order], np.concatenate([[True], ~same])
 
 
-def later_windows(runs: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(run, place) of the windows of `length` bytes that a run of a smaller doc holds as well, in order."""
-    sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+def later_windows(data: bytes, sizes: np.ndarray, docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, place) of the windows of `length` bytes that a run of a smaller doc holds as well, in order. Runs follow one
+    another in data and are `sizes` bytes long."""
     many = sizes - length + 1
-    run = np.repeat(np.arange(len(runs)), many)
+    run = np.repeat(np.arange(len(sizes)), many)
     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
     at = place + np.repeat(np.cumsum(sizes) - sizes, many)
-    order, new = window_classes(b"".join(runs), at, docs[run], length)
+    order, new = window_classes(data, at, docs[run], length)
     if not len(order):
         return order, order
     owner = docs[run[order]]
@@ -131,12 +134,39 @@ def later_windows(runs: list[bytes], docs: np.ndarray, length: int) -> tuple[np.
     return run[hit], place[hit]
 
 
-def _intervals(run: np.ndarray, place: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
+def _intervals(run: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, start, end) of the bytes under consecutive windows."""
-    if len(run):
-        cut = np.flatnonzero((run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)) + 1
-        first, last = np.append(0, cut), np.append(cut, len(run)) - 1
-        yield from zip(run[first].tolist(), place[first].tolist(), (place[last] + length).tolist(), strict=True)
+    if not len(run):
+        return run, place, place
+    cut = np.flatnonzero((run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)) + 1
+    first, last = np.append(0, cut), np.append(cut, len(run)) - 1
+    return run[first], place[first], place[last] + length
+
+
+def _spread_out(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place of `many` as often as it says, and the count within the place."""
+    return np.repeat(np.arange(len(many)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _later_parts(runs: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, end) of the bytes of runs that stand in a run of a smaller doc as well. Equal runs are sorted as one,
+    that of the smallest of their docs; the others then stand there whole."""
+    number: dict[bytes, int] = {}
+    of = np.fromiter((number.setdefault(r, len(number)) for r in runs), np.int64, len(runs))
+    sizes = np.fromiter(map(len, number), np.int64, len(number))
+    least = np.full(len(number), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, docs)
+    run, start, end = _intervals(*later_windows(b"".join(number), sizes, least, length), length)
+    first = np.flatnonzero(docs == least[of])
+    first = first[np.argsort(of[first], kind="stable")]
+    begin = np.searchsorted(of[first], np.arange(len(number)))
+    which, nth = _spread_out(np.diff(np.append(begin, len(first)))[run])
+    others = np.flatnonzero(docs != least[of])
+    return (
+        np.concatenate([first[begin[run[which]] + nth], others]),
+        np.concatenate([start[which], np.zeros(len(others), np.int64)]),
+        np.concatenate([end[which], sizes[of[others]]]),
+    )
 
 
 # -- anchors -------------------------------------------------------------------------------------------------
@@ -332,22 +362,33 @@ def _sorted_buckets(runs: DataFrame, length: int) -> DataFrame:
     one after the other; a bucket is as many anchors as make up BUCKET bytes, and only one is held at a time."""
     ship_package(runs.sparkSession)
 
-    def found(bucket):
-        docs = np.array([r[1] for r in bucket], np.int64)
-        out = []
-        for k, start, end in _intervals(*later_windows([r[4] for r in bucket], docs, length), length):
-            out += [(bucket[k][1], bucket[k][2], s + start, s + end) for s in bucket[k][3]]
-        return _rows(_SPAN, out)
+    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        doc, version = rows.column("doc_id").to_numpy(), rows.column("version").to_numpy()
+        row, start, end = _later_parts(rows.column("data").to_pylist(), doc, length)
+        spots = rows.column("spots").chunk(0)
+        all_spots, edges = spots.values.to_numpy(), spots.offsets.to_numpy().astype(np.int64)
+        which, nth = _spread_out(np.diff(edges)[row])
+        row, spot = row[which], all_spots[edges[row[which]] + nth]
+        columns = doc[row], version[row], spot + start[which], spot + end[which]
+        return pa.RecordBatch.from_arrays([pa.array(c, _INT) for c in columns], schema=_SPAN)
 
     def run(batches):
-        bucket, size = [], 0
+        bucket, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                if size >= BUCKET and row[0] != bucket[-1][0]:
+            anchor = batch.column("anchor").to_numpy()
+            sizes = np.cumsum(np.diff(np.frombuffer(batch.column("data").buffers()[1], np.int32)[batch.column("data").offset :][: len(anchor) + 1]))
+            new = np.flatnonzero(np.concatenate([[anchor[0] != last], anchor[1:] != anchor[:-1]])) if len(anchor) else []
+            begin = 0
+            for k in new:  # the first row of each anchor: a bucket may end before it
+                held = int(sizes[k - 1]) if k else 0
+                if size + held >= BUCKET:
+                    bucket.append(batch.slice(begin, k - begin))
                     yield found(bucket)
-                    bucket, size = [], 0
-                bucket.append(row)
-                size += len(row[4])
+                    bucket, size, begin = [], -held, k
+            if len(anchor):
+                bucket.append(batch.slice(begin))
+                size, last = size + int(sizes[-1]), anchor[-1]
         if bucket:
             yield found(bucket)
 
