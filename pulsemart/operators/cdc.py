@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import schemas
+from .. import defaults, schemas
 from ..functions import epoch_or_iso_date, epoch_or_iso_timestamp
 from . import crm, upsert
 
@@ -33,11 +33,50 @@ def _once(value: Column) -> Column:
     return F.explode_outer(F.array(value))
 
 
+def _wrong_type(name: str, kind: T.DataType) -> Column:
+    """Why a field that is present has no value in its table type; NULL where it has, or is absent.
+
+    Text takes any scalar. Only where a text looks like an object or array does the message itself decide, parsed as a
+    variant, since text that merely starts with a brace is as good as any other.
+    """
+    text = F.col(f"m.{name}")
+    if isinstance(kind, T.StringType):
+        held = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), f"$.{name}", "variant"))
+        return F.when(F.substring(text, 1, 1).isin("{", "["), F.when(held.rlike("^(OBJECT|ARRAY)"), F.lit(f"wrong type: {name}")))
+    reason = F.lit(f"wrong type: {name}")
+    if isinstance(kind, T.TimestampType):
+        reason = F.when(text.try_cast("long").isNotNull(), F.lit(f"out of range: {name}")).otherwise(reason)
+    return F.when(text.isNotNull() & F.col(name).isNull(), reason)
+
+
+def _reason(entity: str) -> Column:
+    """The first thing wrong with a decoded message, NULL for a good one.
+
+    A delete needs its key and version alone; whatever else it carries is of no use.
+    """
+    keys = schemas.CHANGE_KEYS[entity]
+    fields = [f for f in schemas.CHANGE_TABLES[entity].fields if f.name not in keys]
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    stamp = F.col("m.__source_ts_ms")
+    content = [_wrong_type(f.name, f.dataType) for f in fields]
+    content += [F.when(F.col(f"m.{f.name}").isNull(), F.lit(f"missing column: {f.name}")) for f in fields if not f.nullable]
+    return (
+        F.when(F.col(CORRUPT), "malformed")
+        .when(no_key, "missing key")
+        .when(F.col("_version").isNull(), F.when(stamp.isNull(), "missing version").otherwise("wrong type: __source_ts_ms"))
+        .when(~F.coalesce(F.col("_op").isin(*defaults.CHANGE_OPERATIONS), F.lit(False)), "unknown operation")
+        .when(~F.col("_deleted"), F.coalesce(*content))
+    )
+
+
 def decode(messages: DataFrame, entity: str) -> DataFrame:
     """Typed, versioned rows from JSON messages in column `value` (one object per message).
 
-    `seq`, if present, is the position in the feed (topic offset) and settles equal versions. A message that is
-    no JSON object, has no key or no version gets a `_reason` and keeps its text; see `split_corrupt`.
+    `seq`, if present, is the position in the feed (topic offset) and settles equal versions. Whatever can't be taken
+    as it stands gets a `_reason` and keeps its text (see `_reason` and `split_corrupt`): a value that does not fit its
+    column would otherwise become NULL and take the place of a good one.
     """
     wire = T.StructType([*schemas.CHANGE_MESSAGES[entity].fields, T.StructField(CORRUPT, T.StringType())])
     seq = F.col("seq") if "seq" in messages.columns else F.lit(None)
@@ -47,23 +86,17 @@ def decode(messages: DataFrame, entity: str) -> DataFrame:
         _once(F.from_json("value", wire, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})).alias("m"),
     )
     columns = [_typed(F.col(f"m.{f.name}"), f.dataType).alias(f.name) for f in schemas.CHANGE_TABLES[entity].fields]
-    version = F.col("m.__source_ts_ms").try_cast("long")
     rows = parsed.select(
         *columns,
         F.col("m.__op").alias("_op"),
-        version.alias("_version"),
+        F.col("m.__source_ts_ms").try_cast("long").alias("_version"),
         "_seq",
         upsert.deleted_flag(F.col("m.__op")).alias("_deleted"),
         "value",
+        "m",
         (F.col("m").isNull() | F.col(f"m.{CORRUPT}").isNotNull()).alias(CORRUPT),
     )
-    no_key = F.lit(False)
-    for key in schemas.CHANGE_KEYS[entity]:
-        no_key = no_key | F.col(key).isNull()
-    reason = (
-        F.when(F.col(CORRUPT), "malformed").when(no_key, "missing key").when(F.col("_version").isNull(), "missing version")
-    )
-    return rows.withColumn(REASON, reason).drop(CORRUPT)
+    return rows.withColumn(REASON, _reason(entity)).drop(CORRUPT, "m")
 
 
 def split_corrupt(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:

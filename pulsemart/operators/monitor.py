@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import defaults, schemas
 from ..functions import stable_round
 from . import upsert
-from .cdc import VERSION_ORDER
+from .cdc import REASON, VERSION_ORDER
 
 CHANGE_TABLE_NAMES = {
     "customers": "crm_customers",
@@ -63,6 +63,18 @@ def cdc_health(logs: dict[str, DataFrame]) -> DataFrame:
     return whole.select(F.inline("_tables"), status.alias("status"))
 
 
+def fault_counts(decoded: dict[str, DataFrame]) -> DataFrame:
+    """Messages set aside per entity and reason, from `cdc.decode` of each entity."""
+
+    def one(entity: str, rows: DataFrame) -> DataFrame:
+        bad = rows.filter(F.col(REASON).isNotNull())
+        return bad.groupBy(F.col(REASON).alias("reason")).agg(F.count(F.lit(1)).alias("messages")).select(
+            F.lit(entity).alias("entity"), "reason", "messages"
+        )
+
+    return _each(decoded, one)
+
+
 def readiness(rows: DataFrame) -> DataFrame:
     """Whether the dimension can serve: record count, flag and status in one row."""
     n = F.count(F.lit(1))

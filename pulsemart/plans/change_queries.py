@@ -63,6 +63,61 @@ def dead_letters(spark, folder):
     return bad.select("_seq", "_reason")
 
 
+@query(
+    "decoded_model_changes",
+    sql(f"SELECT {_MODEL}, _seq FROM model_log WHERE _seq % 101 <> 0", "model_log"),
+)
+def decoded_model_changes(spark, folder):
+    """Model messages decoded to typed, versioned rows."""
+    good, _ = cdc.split_corrupt(cdc.decode(st.messages(st.model_log(spark, folder)), "models"))
+    return good.select(*_names(_MODEL), "_seq").withColumn("model_id", F.col("model_id").cast("long"))
+
+
+def _faults(entity: str, log: str) -> str:
+    """SQL for the reasons that the faults of `faulty_messages` must get."""
+    text, needed, time = st.FAULTY_COLUMNS[entity]
+    k = "(_seq % 16 + 16) % 16"
+    return f"""SELECT '{entity}' AS entity, _seq, CASE WHEN (_seq % 101 + 101) % 101 = 0 THEN 'malformed'
+        WHEN {k} = 1 THEN 'unknown operation' WHEN _deleted THEN NULL WHEN {k} = 2 THEN 'wrong type: {time}'
+        WHEN {k} = 3 THEN 'missing column: {needed}' WHEN {k} = 4 THEN 'out of range: {time}'
+        WHEN {k} = 5 THEN 'wrong type: {text}' END AS _reason FROM {log}"""
+
+
+_LOG_NAMES = {"customers": "customer_log", "prostheses": "prosthesis_log", "models": "model_log"}
+
+
+@query(
+    "message_faults",
+    sql(
+        "SELECT * FROM ("
+        + " UNION ALL ".join(_faults(entity, log) for entity, log in _LOG_NAMES.items())
+        + ") WHERE _reason IS NOT NULL",
+        *_LOG_NAMES.values(),
+    ),
+)
+def message_faults(spark, folder):
+    """What is wrong with each message of the three topics that can't be taken as it stands."""
+    parts = []
+    for entity, log in _logs(spark, folder).items():
+        _, bad = cdc.split_corrupt(cdc.decode(st.faulty_messages(log, entity), entity))
+        parts.append(bad.select(F.lit(entity).alias("entity"), "_seq", "_reason"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "fault_counts",
+    sql(
+        "SELECT entity, _reason AS reason, count(*) AS messages FROM ("
+        + " UNION ALL ".join(_faults(entity, log) for entity, log in _LOG_NAMES.items())
+        + ") WHERE _reason IS NOT NULL GROUP BY ALL",
+        *_LOG_NAMES.values(),
+    ),
+)
+def fault_counts(spark, folder):
+    """How many messages of each topic are set aside for each reason."""
+    return monitor.fault_counts({e: cdc.decode(st.faulty_messages(log, e), e) for e, log in _logs(spark, folder).items()})
+
+
 # -- current state -----------------------------------------------------------------------------------------
 
 

@@ -279,6 +279,31 @@ def messages(log: DataFrame, broken_every: int = 101) -> DataFrame:
     )
 
 
+#: For each entity, a column of text, one that its table needs, and a time.
+FAULTY_COLUMNS = {
+    "customers": ("first_name", "email", "updated_at"),
+    "prostheses": ("firmware_version", "serial_number", "updated_at"),
+    "models": ("category", "model_code", "created_at"),
+}
+
+
+def faulty_messages(log: DataFrame, entity: str, every: int = 16) -> DataFrame:
+    """A change log as feed messages, of every 16 positions five with a fault: an operation that is none, a time that is
+    no time, a column left out, a time far beyond all calendars, an object in place of a text."""
+    text, needed, time = FAULTY_COLUMNS[entity]
+    fault = F.pmod(F.col("seq"), F.lit(every))
+    body = F.col("value")
+    faulty = (
+        F.when(fault == 1, F.regexp_replace(body, '"__op":"."', '"__op":"z"'))
+        .when(fault == 2, F.regexp_replace(body, f'"{time}":"[^"]*"', f'"{time}":"soon"'))
+        .when(fault == 3, F.regexp_replace(body, f'"{needed}":"[^"]*",?', ""))
+        .when(fault == 4, F.regexp_replace(body, f'"{time}":"[^"]*"', f'"{time}":99999999999999999'))
+        .when(fault == 5, F.regexp_replace(body, f'"{text}":"[^"]*"', f'"{text}":{{"a":[1]}}'))
+        .otherwise(body)
+    )
+    return messages(log).select(faulty.alias("value"), "seq")
+
+
 # -- derived logs of profiles, consent and access ----------------------------------------------------------
 
 

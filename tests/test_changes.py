@@ -75,6 +75,47 @@ def test_bad_messages_are_kept_apart(spark):
     assert set(good.columns) == set(schemas.change_state("customers").fieldNames())
 
 
+def without(message, name):
+    row = json.loads(message)
+    del row[name]
+    return json.dumps(row)
+
+
+def test_each_fault_has_its_reason(spark):
+    cases = {
+        customer(1, "z", 1): "unknown operation",
+        customer(2, None, 1): "unknown operation",
+        customer(3, "u", "soon"): "wrong type: __source_ts_ms",
+        customer(4, "u", 1, birth_date="yesterday"): "wrong type: birth_date",
+        customer(5, "u", 1, created_at=99999999999999999): "out of range: created_at",
+        customer(6, "u", 1, first_name={"a": 1}): "wrong type: first_name",
+        customer(7, "u", 1, first_name=[1]): "wrong type: first_name",
+        without(customer(8, "u", 1), "email"): "missing column: email",
+        customer(9, "u", 1, region=None): "missing column: region",
+        customer(10, "u", 1, first_name="{a brace is text}", last_name="[too", middle_name=5): None,
+        without(customer(11, "d", 1, birth_date="yesterday", created_at=[2]), "email"): None,
+        without(customer(12, "u", 1), "phone"): None,
+    }
+    got = {r.value: r._reason for r in cdc.decode(messages(spark, list(cases)), "customers").collect()}
+    assert got == cases
+    cases = {
+        model(1, "u", 1, price="oops"): "wrong type: price",
+        model(2, "u", 1, price=1e12): "wrong type: price",
+        model(3, "u", 1, warranty_months="x"): "wrong type: warranty_months",
+        model(4, "u", 1, is_active="yes"): "wrong type: is_active",
+        model(5, "u", 1, warranty_months=None, is_active="TRUE"): None,
+    }
+    got = {r.value: r._reason for r in cdc.decode(messages(spark, list(cases)), "models").collect()}
+    assert got == cases
+
+
+def test_message_is_parsed_once(spark):
+    """Checks add no second parse of good messages: one from_json, variants only inside a condition."""
+    good, _ = cdc.split_corrupt(cdc.decode(messages(spark, [customer(1, "c", 1)]), "customers"))
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
 LOG = [
     customer(1, "r", 10, first_name="old"),
     customer(1, "u", 30, first_name="new"),
