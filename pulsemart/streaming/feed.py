@@ -14,11 +14,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators import cdc, upsert
+from ..sources import runs
 from .triggers import AT_ONCE, start
 
 BUCKETS = 64
-# Lookups by chip and by external id skip row groups.
+# Lookups by chip and by external id skip row groups of merged runs; a batch's own run is too small to need filters.
 BLOOM = {
+    "parquet.bloom.filter.adaptive.enabled": "true",
     "parquet.bloom.filter.enabled#chip_id": "true",
     "parquet.bloom.filter.enabled#external_id": "true",
 }
@@ -32,10 +34,6 @@ def _add(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(name, kind)])
 
 
-def bucket(keys: list[str], buckets: int):
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
 def write_dead_letters(decoded: DataFrame, batch_id: int, path: str) -> None:
     """Messages that could not be decoded, under the batch's number; a replay writes the same rows again."""
     _, bad = cdc.split_corrupt(decoded)
@@ -107,27 +105,37 @@ def compact_log(spark: SparkSession, log_path: str, entity: str, upto: int) -> N
 # -- state -------------------------------------------------------------------------------------------------
 
 
-def state_schema(entity: str) -> T.StructType:
-    return _add(schemas.change_state(entity), "bucket", T.IntegerType())
+def _newest(entity: str):
+    """Of several rows of a key, the one with the newest version."""
+    return lambda rows: upsert.latest(rows, schemas.CHANGE_KEYS[entity], cdc.VERSION_ORDER)
 
 
-def apply_state(spark: SparkSession, changes: DataFrame, entity: str, path: str, buckets: int = BUCKETS) -> None:
-    """Changes into the stored state: the newest version of each key stays, whatever order batches arrive in.
+def apply_state(
+    spark: SparkSession, changes: DataFrame, entity: str, path: str, buckets: int = BUCKETS, batch_id: int | None = None
+) -> None:
+    """Changes into the stored state: the newest version of each key stands, whatever order batches arrive in.
 
-    State files are split by a hash of the key, and only the buckets of changed keys are rewritten. The bucket
-    count is fixed for the life of the table; pick it so that a bucket is a few files.
+    The batch's rows are one more run of the table (see `sources.runs`); nothing stored is read or written again but by
+    merges. The bucket count is fixed for the life of the table.
     """
     keys = schemas.CHANGE_KEYS[entity]
-    rows = changes.withColumn("bucket", bucket(keys, buckets)).select(*state_schema(entity).fieldNames())
-    upsert.upsert_into(spark, path, rows, keys, ["bucket"], keys, order=cdc.VERSION_ORDER, versions=True, options=BLOOM)
+    rows = _newest(entity)(changes.select(*schemas.change_state(entity).fieldNames()))
+    runs.add(rows, path, keys, buckets, batch_id)
+
+
+def merge_state(spark: SparkSession, entity: str, path: str, fanout: int = runs.FANOUT) -> int:
+    return runs.merge(spark, path, schemas.change_state(entity), schemas.CHANGE_KEYS[entity], _newest(entity), fanout, BLOOM)
 
 
 def read_state(spark: SparkSession, path: str, entity: str) -> DataFrame:
     """Stored state, tombstones included; empty before the first batch."""
-    schema = state_schema(entity)
-    if not upsert.path_exists(spark, path):
-        return spark.createDataFrame([], schema).drop("bucket")
-    return spark.read.schema(schema).parquet(path).drop("bucket")
+    return _newest(entity)(runs.read(spark, path, schemas.change_state(entity)).drop("bucket"))
+
+
+def lookup_state(spark: SparkSession, path: str, entity: str, keys: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Stored state of some keys, tombstones included, from the buckets of these keys alone."""
+    column = schemas.CHANGE_KEYS[entity][0]
+    return _newest(entity)(runs.lookup(spark, path, schemas.change_state(entity), column, keys, buckets))
 
 
 def keep_state(
@@ -144,8 +152,9 @@ def keep_state(
     def write(batch: DataFrame, batch_id: int) -> None:
         decoded = cdc.decode(batch, entity).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            apply_state(batch.sparkSession, cdc.split_corrupt(decoded)[0], entity, path, buckets)
+            apply_state(batch.sparkSession, cdc.split_corrupt(decoded)[0], entity, path, buckets, batch_id)
             write_dead_letters(decoded, batch_id, dead_path)
+            merge_state(batch.sparkSession, entity, path)
         finally:
             decoded.unpersist()
 
@@ -155,6 +164,9 @@ def keep_state(
 # -- customer dimension ------------------------------------------------------------------------------------
 
 ENTITIES = ("customers", "prostheses", "models")
+#: Which devices a customer or model ever had: a device's rows are found by its owner or model without reading the state.
+INDEXES = {"customers": "customer_id", "models": "model_id"}
+DEVICE = schemas.CHANGE_KEYS["prostheses"][0]
 
 
 def tagged(streams: dict[str, DataFrame]) -> DataFrame:
@@ -166,19 +178,51 @@ def tagged(streams: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
+def index_schema(column: str) -> T.StructType:
+    return schemas.struct(f"{column} INT, {DEVICE} INT")
+
+
 def dimension_schema() -> T.StructType:
-    return _add(schemas.CUSTOMER_DATA, "bucket", T.IntegerType())
+    """Dimension rows as stored: with the batch that made them, and whether the device has left the dimension."""
+    return _add(_add(schemas.CUSTOMER_DATA, "_batch", T.LongType()), "_gone", T.BooleanType())
+
+
+def _last_batch(rows: DataFrame) -> DataFrame:
+    return upsert.latest(rows, [DEVICE], ["_batch"])
 
 
 def read_dimension(spark: SparkSession, root: str) -> DataFrame:
-    schema = dimension_schema()
-    if not upsert.path_exists(spark, f"{root}/customer_data"):
-        return spark.createDataFrame([], schema).drop("bucket")
-    return spark.read.schema(schema).parquet(f"{root}/customer_data").drop("bucket")
+    rows = _last_batch(runs.read(spark, f"{root}/customer_data", dimension_schema()).drop("bucket"))
+    return rows.filter(~F.col("_gone")).select(*schemas.CUSTOMER_DATA.fieldNames())
+
+
+def affected_devices(spark: SparkSession, changed: dict[str, DataFrame], root: str, buckets: int = BUCKETS) -> DataFrame:
+    """Devices whose dimension row a batch can alter: changed themselves, or ever owned by a changed customer or made to a
+    changed model. A device that has since changed hands is among them too, and is only worked out once more."""
+    result = changed["prostheses"].select(DEVICE)
+    for entity, column in INDEXES.items():
+        found = runs.lookup(spark, f"{root}/index/{entity}", index_schema(column), column, changed[entity], buckets)
+        result = result.unionByName(found.select(DEVICE))
+    return result.distinct()
+
+
+def dimension_rows(spark: SparkSession, devices: DataFrame, root: str, buckets: int = BUCKETS) -> DataFrame:
+    """Dimension rows of some devices (prosthesis_id), from the buckets of the three states that hold these devices, their
+    owners and their models."""
+    held = upsert.live(lookup_state(spark, f"{root}/state/prostheses", "prostheses", devices, buckets)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        others = {}
+        for entity, column in INDEXES.items():
+            keys = held.select(column).filter(F.col(column).isNotNull()).distinct()
+            others[entity] = upsert.live(lookup_state(spark, f"{root}/state/{entity}", entity, keys, buckets))
+        return cdc.customer_data_of(others["customers"], held, others["models"])
+    finally:
+        held.unpersist()
 
 
 def apply_feed_batch(batch: DataFrame, batch_id: int, root: str, buckets: int = BUCKETS) -> None:
-    """One mixed batch: state of each entity first, then the dimension rows of the devices it affects."""
+    """One mixed batch: runs of the three states and of the indexes first, then the dimension rows of the devices it
+    affects. All it reads of what is stored are the buckets of affected keys, all it writes are its own rows."""
     spark = batch.sparkSession
     decoded = {
         entity: cdc.decode(batch.filter(F.col("entity") == entity), entity).persist(StorageLevel.MEMORY_AND_DISK)
@@ -188,29 +232,37 @@ def apply_feed_batch(batch: DataFrame, batch_id: int, root: str, buckets: int =
         changed = {}
         for entity in ENTITIES:
             changed[entity], _ = cdc.split_corrupt(decoded[entity])
-            apply_state(spark, changed[entity], entity, f"{root}/state/{entity}", buckets)
+            apply_state(spark, changed[entity], entity, f"{root}/state/{entity}", buckets, batch_id)
             write_dead_letters(decoded[entity], batch_id, f"{root}/dead/{entity}")
-        now = {e: upsert.live(read_state(spark, f"{root}/state/{e}", e)) for e in ENTITIES}
-        hit_keys = cdc.affected_devices(now["prostheses"], changed).persist(StorageLevel.MEMORY_AND_DISK)
+        for entity, column in INDEXES.items():
+            pairs = changed["prostheses"].select(column, DEVICE).filter(F.col(column).isNotNull()).distinct()
+            runs.add(pairs, f"{root}/index/{entity}", [column], buckets, batch_id)
+        hit = affected_devices(spark, changed, root, buckets).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            hit = hit_keys.select(bucket(["prosthesis_id"], buckets).alias("bucket")).distinct()
-            path = f"{root}/customer_data"
-            if upsert.path_exists(spark, path):
-                old = spark.read.schema(dimension_schema()).parquet(path).join(hit, "bucket", "left_semi")
-                kept = old.join(hit_keys, "prosthesis_id", "left_anti").select(*dimension_schema().fieldNames())
-            else:
-                kept = spark.createDataFrame([], dimension_schema())
-            redone = cdc.customer_data_of(
-                now["customers"], now["prostheses"].join(hit_keys, "prosthesis_id", "left_semi"), now["models"]
-            ).withColumn("bucket", bucket(["prosthesis_id"], buckets))
-            upsert.rewrite_partitions(spark, path, kept.unionByName(redone), hit, ["bucket"], ["chip_id"], BLOOM)
+            redone = dimension_rows(spark, hit, root, buckets)
+            rows = hit.join(redone, DEVICE, "left").select(
+                *schemas.CUSTOMER_DATA.fieldNames(),
+                F.lit(batch_id).cast("long").alias("_batch"),
+                F.col("user_id").isNull().alias("_gone"),
+            )
+            runs.add(rows, f"{root}/customer_data", [DEVICE], buckets, batch_id)
         finally:
-            hit_keys.unpersist()
+            hit.unpersist()
+        merge_feed(spark, root)
     finally:
         for rows in decoded.values():
             rows.unpersist()
 
 
+def merge_feed(spark: SparkSession, root: str, fanout: int = runs.FANOUT) -> None:
+    """Merges the tiers of all tables below `root` that are full."""
+    for entity in ENTITIES:
+        merge_state(spark, entity, f"{root}/state/{entity}", fanout)
+    for entity, column in INDEXES.items():
+        runs.merge(spark, f"{root}/index/{entity}", index_schema(column), [column], DataFrame.distinct, fanout)
+    runs.merge(spark, f"{root}/customer_data", dimension_schema(), [DEVICE], _last_batch, fanout, BLOOM)
+
+
 def keep_dimension(
     streams: dict[str, DataFrame],
     root: str,
