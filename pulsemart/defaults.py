@@ -18,6 +18,9 @@ CONSENT_HISTORY_LIMIT = 50
 RECENT_CHANGES_LIMIT = 10
 FLEET_DAYS = 7
 
+# A message that comes again within this time of its first arrival is the same delivery.
+REDELIVERY = "1 day"
+
 # Consumer lag above which the change feed counts as degraded.
 LAG_THRESHOLD = 1000
 

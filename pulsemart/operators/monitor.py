@@ -132,12 +132,17 @@ def load_metrics(rows: DataFrame, by: str = "user_id") -> DataFrame:
 
 
 def lag(progress: DataFrame, threshold: int = defaults.LAG_THRESHOLD) -> DataFrame:
-    """Lag per topic from rows (topic, partition, end_offset, committed_offset)."""
+    """Lag per topic from rows (topic, partition, end_offset, committed_offset), such as `progress.newest` has of running
+    streams. The lag of a topic one of whose ends is not known is unknown too."""
     behind = F.greatest(F.col("end_offset") - F.coalesce(F.col("committed_offset"), F.lit(0)), F.lit(0))
+    known = F.count("end_offset") == F.count(F.lit(1))
     return (
         progress.groupBy("topic")
-        .agg(F.sum(behind).alias("lag"))
-        .withColumn("status", F.when(F.col("lag") > threshold, "degraded").otherwise("healthy"))
+        .agg(F.when(known, F.sum(F.when(F.col("end_offset").isNotNull(), behind))).alias("lag"))
+        .withColumn(
+            "status",
+            F.when(F.col("lag").isNull(), "unknown").when(F.col("lag") > threshold, "degraded").otherwise("healthy"),
+        )
     )
 
 

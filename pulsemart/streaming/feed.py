@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators import cdc, upsert
 from ..sources import runs
+from ..sources.changelog import once
 from .triggers import AT_ONCE, start
 
 BUCKETS = 64
@@ -74,13 +75,17 @@ def ingest(
     checkpoint: str | None = None,
     trigger: dict | None = None,
     max_broken: int | None = None,
+    within: str | None = None,
 ) -> StreamingQuery:
     """Continuous ingest of one entity. `max_broken` stops the stream on a batch with more broken messages;
-    without it any number is set aside."""
+    without it any number is set aside. Messages delivered again `within` a time (say, `defaults.REDELIVERY`) of their
+    first arrival are left out, see `changelog.once`; without it they are taken in, which the latest version per key
+    does not mind but the log grows by."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_log_batch(batch, batch_id, entity, log_path, dead_path, max_broken)
 
+    messages = once(messages, within) if within else messages
     return start(messages, write, f"ingest-{entity}", checkpoint, trigger or AT_ONCE)
 
 

@@ -4,15 +4,16 @@ import datetime as dt
 import itertools
 import json
 import os
+import time
 
 import pytest
 import seeds
 
 from pulsemart import schemas
-from pulsemart.operators import cdc, upsert
+from pulsemart.operators import cdc, monitor, upsert
 from pulsemart.plans import loads
 from pulsemart.sources import changelog
-from pulsemart.streaming import feed
+from pulsemart.streaming import feed, progress
 from pulsemart.streaming.triggers import DRAIN_ONCE
 
 
@@ -265,6 +266,72 @@ def test_stream_ingest(spark, path):
     assert sorted(map(str, cdc.current(folded, "customers").collect())) == state
 
 
+def test_feed_delivered_twice_is_taken_in_once(spark, path):
+    log, dead = path + "/log", path + "/dead"
+
+    def run(within):
+        stream = changelog.file_stream(spark, path + "/in/customers", max_files=1)
+        query = feed.ingest(stream, "customers", log, dead, path + "/cp", DRAIN_ONCE, within=within)
+        drain(query)
+        return query.recentProgress
+
+    write_messages(path + "/in", "customers", "a", [*LOG, "{broken", LOG[0]])
+    run("1 day")
+    write_messages(path + "/in", "customers", "b", [*LOG[3:], customer(9, "c", 1), "{broken"])
+    write_messages(path + "/in", "customers", "c", [customer(9, "c", 1), customer(8, "c", 1)])
+    run("1 day")
+    assert sorted(r.customer_id for r in feed.read_log(spark, log, "customers").collect()) == [1, 1, 1, 2, 2, 3, 3, 3, 4, 4, 8, 9]
+    assert [r.value for r in feed.read_dead_letters(spark, dead).collect()] == ["{broken"]
+
+
+def test_state_of_deliveries_is_given_up(spark, path):
+    seen = []
+    write_messages(path + "/in", "customers", "a", LOG)
+    time.sleep(0.1)
+    for name in "bc":
+        write_messages(path + "/in", "customers", name, [LOG[0]])
+    stream = changelog.once(changelog.file_stream(spark, path + "/in/customers", max_files=1), "1 millisecond")
+    query = stream.writeStream.foreachBatch(lambda b, _: seen.append(b.count())).option("checkpointLocation", path + "/cp")
+    query = query.trigger(availableNow=True).start()
+    drain(query)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == len(LOG)
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 1
+
+
+def test_later_file_wins_among_equal_versions(spark, path):
+    write_messages(path + "/in", "customers", "z", [customer(1, "u", 5, first_name="zfirst")])
+    write_messages(path + "/in", "customers", "a", [customer(1, "u", 5, first_name="later")])
+    for name, seconds in (("z", 1_700_000_000), ("a", 1_700_000_100)):
+        os.utime(f"{path}/in/customers/{name}.json", (seconds, seconds))
+    rows = changelog.file_batch(spark, path + "/in/customers")
+    for order in (rows, rows.orderBy("value"), rows.orderBy("value", ascending=False)):
+        good, _ = cdc.split_corrupt(cdc.decode(order, "customers"))
+        assert [r.first_name for r in cdc.current(good, "customers").collect()] == ["later"]
+
+
+def test_progress_of_running_streams_fills_a_table(spark, path):
+    log = progress.ProgressLog(spark, path + "/progress")
+    spark.streams.addListener(log)
+    try:
+        write_messages(path + "/in", "customers", "a", LOG)
+        stream = changelog.file_stream(spark, path + "/in/customers")
+        drain(feed.ingest(stream, "customers", path + "/log", path + "/dead", path + "/cp", DRAIN_ONCE, within="1 day"))
+        rates = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+        rate = rates.writeStream.format("noop").queryName("rates").option("checkpointLocation", path + "/cp2").start()
+        deadline = time.time() + 60
+        while time.time() < deadline and progress.read_progress(spark, path + "/progress").filter("query = 'rates' AND end_offset > 1").isEmpty():
+            time.sleep(1)
+        rate.stop()
+    finally:
+        spark.streams.removeListener(log)
+    assert log.failed == 0
+    last = progress.newest(progress.read_progress(spark, path + "/progress"))
+    lags = {("Rate" in r.topic): (r.lag, r.status) for r in monitor.lag(last).collect()}
+    assert lags == {True: (0, "healthy"), False: (None, "unknown")}
+    rows = progress.throughput(progress.read_progress(spark, path + "/progress")).filter("query <> 'rates'").collect()
+    assert sum(r.rows for r in rows) == len(LOG) and max(r.max_state_rows for r in rows) == len(LOG)
+
+
 def test_replayed_log_batch_changes_nothing(spark, path):
     batch = messages(spark, LOG + ["{broken"])
     for _ in range(2):
