@@ -15,6 +15,10 @@ from .common import MEMO_ENTRIES, MEMO_LENGTH, pre_tokens
 _PLAIN = re.compile("[ \n]?[\x21-\x7e\xa1-ɏ]+").fullmatch
 
 
+#: A text of such characters, blanks and newlines alone: both encoders then cut it into the same words.
+_PLAIN_TEXT = re.compile("[ \n\x21-\x7e\xa1-ɏ]*").fullmatch
+
+
 class WordEncoder:
     """Encodes single words as the tokenizers library does.
 
@@ -39,6 +43,13 @@ class WordEncoder:
             self._fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
             self._newline = merges[b"\n"]
 
+    def text(self, text: str) -> bytes | None:
+        """Ids of a whole text of plain characters without special strings, by one call of the rank encoder, which cuts and
+        merges it as the library does; None for all others."""
+        if self._fast is None or not _PLAIN_TEXT(text) or any(s in text for s in self._special):
+            return None
+        return self._fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+
     def __call__(self, words: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each word."""
         plain = []
@@ -61,7 +72,8 @@ class WordEncoder:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers; words are remembered up to a bound."""
+    """Ids of whole texts as little-endian unsigned 32-bit numbers. Plain texts are encoded at once, others word by word;
+    their words are remembered up to a bound."""
 
     def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None):
         self._encode = WordEncoder(vocabulary, ranks, pattern)
@@ -69,6 +81,13 @@ class Encoder:
         self._old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        out = [self._encode.text(t) for t in texts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._by_words([texts[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
         cut = [pre_tokens(t) for t in texts]
         if len(self._known) > MEMO_ENTRIES:
             self._known, self._old = {}, self._known

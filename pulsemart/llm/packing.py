@@ -79,23 +79,24 @@ class Packer:
         self.tokens += len(ids)
 
     def places(self) -> tuple[list[int], list[int]]:
-        at, where, costs = 0, [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
-        for _, _, ids, _ in self.docs:
-            n = len(ids)
-            ends = np.flatnonzero(self.sentence_end[ids[:-1]]) + 1
-            marks = np.concatenate([[0], ends, [n]])
-            if (np.diff(marks) > STRETCH).any():
-                every = np.setdiff1d(np.arange(STRETCH, n, STRETCH), ends)
-                spots = np.concatenate([ends, every])
-                price = np.concatenate([np.full(len(ends), SENTENCE_CUT), np.full(len(every), WORD_CUT)])
-                order = np.argsort(spots, kind="stable")
-                spots, price = spots[order], price[order]
-            else:
-                spots, price = ends, np.full(len(ends), SENTENCE_CUT)
-            where += [at + spots, [at + n]]
-            costs += [price, [0]]
-            at += n
-        return np.concatenate(where).tolist(), np.concatenate(costs).tolist()
+        """Where the documents held may be cut, and what each cut costs: nothing at document ends, SENTENCE_CUT at sentence
+        ends, and WORD_CUT at every STRETCH tokens of a document that goes on for longer without one."""
+        sizes = np.array([len(ids) for _, _, ids, _ in self.docs])
+        ids = np.concatenate([ids for _, _, ids, _ in self.docs])
+        n, ends = len(ids), np.cumsum(sizes)
+        cost = np.full(n + 1, -1)
+        cost[1:][self.sentence_end[ids]] = SENTENCE_CUT
+        cost[ends], cost[0] = 0, 0
+        marks = np.flatnonzero(cost >= 0)
+        gaps = np.flatnonzero(np.diff(marks) > STRETCH)
+        if len(gaps):
+            long_ones = np.zeros(len(sizes), bool)
+            long_ones[np.searchsorted(ends, marks[gaps], "right")] = True
+            place = np.arange(n) - np.repeat(ends - sizes, sizes)
+            spots = np.repeat(long_ones, sizes) & (place % STRETCH == 0) & (cost[:n] < 0)
+            cost[:n][spots] = WORD_CUT
+            marks = np.flatnonzero(cost >= 0)
+        return marks.tolist(), cost[marks].tolist()
 
     def flush(self, end: bool) -> list[tuple]:
         """Pieces of the sequences chosen so far; at the end of the input, of all that is left."""
