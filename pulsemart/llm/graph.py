@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,14 +13,14 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large stars (hang greater neighbours on the smallest neighbour) and small stars (hang all others on it)
     until nothing changes. Only minima per node are aggregated, map-side first, so a node of very many links is no
-    problem. The edges are checkpointed in every round, so a lost executor costs at most one. Self-links and nulls are
+    problem. The edges are stored in every round, so a lost executor costs at most one. Self-links and nulls are
     ignored; no links give no rows.
     """
     edges = (
         links.filter(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
-        .transform(checkpoint)
+        .transform(stored)
     )
     mark = _mark(edges)
     while mark[0]:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        older, edges = edges, stored(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        discard(older)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

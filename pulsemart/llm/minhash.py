@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches, ship_package, text_or_empty
+from .common import discard, map_batches, ship_package, stored, text_or_empty
 from .graph import components
 
 #: Bands of so many samples each. A pair at similarity 0.8 shares no band with a probability of (1 - 0.8^5)^32 = 3e-6.
@@ -106,7 +106,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 values = shingles(text, words)
                 key = None
                 if len(values) and doc_id is not None:
-                    key = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+                    key = _digest(values)
                 samples = signer.samples(values) if key else None
                 out["n"].append(len(values))
                 out["key"].append(key)
@@ -117,12 +117,19 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs, run, "doc_id long, n long, key binary, bands array<long>, sketch array<long>")
 
 
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """id, key, set of each row of docs (id, text)."""
+
     def run(batches):
         for batch in batches:
-            yield {"id": batch["id"], "set": [shingles(t, words).view(np.int64) for t in batch["text"]]}
+            sets = [shingles(t, words) for t in batch["text"]]
+            yield {"id": batch["id"], "key": [_digest(s) for s in sets], "set": [s.view(np.int64) for s in sets]}
 
-    return map_batches(docs.select("id", "text"), run, "id long, set array<long>")
+    return map_batches(docs.select("id", "text"), run, "id long, key binary, set array<long>")
 
 
 def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,13 +140,13 @@ def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    wanted = checkpoint(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = _only(sets, wanted)
+    wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sets = _only(sets, wanted).drop("key")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
+    return both.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
 
 def _links(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -188,12 +195,12 @@ def _in_blocks(placed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     into blocks against it. One task compares one block with one block.
     """
     ship_package(placed.sparkSession)
-    sizes = full.select("rep", "n")
+    sizes = full.groupBy("rep").agg(F.max("n").alias("n"))
     left = placed.filter("root <> main").groupBy("rep").agg(F.min("root").alias("root"), F.min("main").alias("of"))
-    left = checkpoint(_blocks(left.join(sizes, "rep"), ["of"], "block").drop("n"))
+    left = stored(_blocks(left.join(sizes, "rep"), ["of"], "block").drop("n"))
     of_bucket = placed.join(left.select("rep", "of", "block"), "rep").select("bucket", "of", "block").distinct()
     right = placed.join(of_bucket, "bucket").select("of", "block", "rep", "root").distinct()
-    right = checkpoint(_blocks(right.join(sizes, "rep"), ["of", "block"], "against").drop("n"))
+    right = stored(_blocks(right.join(sizes, "rep"), ["of", "block"], "against").drop("n"))
     left = left.join(right.select("of", "block", "against").distinct(), ["of", "block"])
     keys = ["of", "block", "against"]
 
@@ -222,27 +229,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Components of all links are the result; no candidate is left out, only those that can't change it.
 
     Texts without words (null and empty ones too) have an empty set and are linked with nothing. A row without doc_id is
-    linked with nothing, has no component_id and is kept. Rows that share a doc_id are each kept or not by their own
-    text. Other columns of `docs` are not read; an empty table gives an empty result.
+    linked with nothing, has no component_id and is kept. Rows that share a doc_id are one document with several texts:
+    it has the links of all of them, and its rows have one component_id. Other columns of `docs` are not read; an empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    signed = checkpoint(signatures(texts, words))
-    classes = signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"))
-    nodes = (
+    signed = stored(signatures(texts, words))
+    classes = stored(signed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep")))
+    # a class of equal sets has its smallest doc_id for a node; a node stands for as many sets as it is the smallest of
+    nodes = stored(
         signed.join(classes, "key")
         .filter(F.col("doc_id") == F.col("rep"))
-        .select("rep", "n", "bands", "sketch")
-        .dropDuplicates(["rep"])
-        .transform(checkpoint)
+        .select("rep", "key", "n", "bands", "sketch")
+        .dropDuplicates(["rep", "key"])
     )
+    # the classes of one document's texts belong together
+    of_doc = signed.select("doc_id", "key").filter(F.col("key").isNotNull()).join(classes, "key")
+    ties = of_doc.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a <> last").select("doc_id", "a")
+    ties = stored(of_doc.join(ties, "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct())
     sketches = nodes.select("rep", "n", "sketch")
     held = nodes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     crowded = held.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    held = checkpoint(held.join(crowded, "bucket"))
+    held = stored(held.join(crowded, "bucket"))
     # full sets of the documents that share a bucket with another, made once
-    members = checkpoint(held.select(F.col("rep").alias("id")).distinct())
+    members = stored(held.select(F.col("rep").alias("id")).distinct())
     sources = texts.filter(F.col("text") != "").withColumnRenamed("doc_id", "id")
-    sets = checkpoint(_sets(_only(sources, members), words).dropDuplicates(["id"]))
+    sets = stored(_sets(_only(sources, members), words).dropDuplicates(["id", "key"]))
+    discard(members)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         likely = (
@@ -250,8 +262,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             .join(sketches.toDF("b", "n_b", "sketch_b"), "b")
             .filter(_likely(percent))
             .select("a", "b")
+            .distinct()
         )
-        return _confirmed(checkpoint(likely), sets, percent)
+        return _confirmed(stored(likely), sets, percent)
 
     roots = None
     for k, partners in enumerate(PARTNERS):
@@ -271,8 +284,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             .select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
         )
         found = confirmed(pairs)
-        known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")) if k else None
-        roots = components(known.union(found) if k else found)
+        known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")) if k else ties
+        roots = components(known.union(found))
 
     placed = _placed(held, roots)
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
@@ -281,7 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         .agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("size"))
         .filter("parts > 1").select("bucket", F.col("top.root").alias("main"), "size")
     )
-    left_over = checkpoint(placed.join(mixed, "bucket"))
+    left_over = stored(placed.join(mixed, "bucket"))
     rest = left_over.filter(F.col("size") <= LARGE).join(nodes.select("rep", "n", "sketch", "bands"), "rep")
     left = rest.filter("root <> main").select(
         "bucket", "band", F.col("rep").alias("l"), F.col("root").alias("l_root"),
@@ -297,13 +310,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.arrays_zip(F.slice("bands_a", 1, F.col("band")).alias("x"), F.slice("bands_b", 1, F.col("band")).alias("y")),
         lambda p: p.x == p.y,
     )
-    second = checkpoint(
+    second = stored(
         left.join(right, (left.bucket == right.bucket) & apart & _likely(percent) & ~earlier)
         .select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
         .distinct()
     )
-    full = sets.withColumnRenamed("id", "rep").join(sketches, "rep")
-    found = checkpoint(
+    full = sets.withColumnRenamed("id", "rep").join(nodes.select("rep", "key", "n", "sketch"), ["rep", "key"]).drop("key")
+    found = stored(
         _confirmed(second, sets, percent).union(_in_blocks(left_over.filter(F.col("size") > LARGE), full, percent))
     )
     if not found.isEmpty():

@@ -62,6 +62,17 @@ def variants(n):
     return out
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_texts_under_one_id_are_one_document(spark, turn):
+    """Its links are those of all its texts, in whatever order the rows stand."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b + " more"), (9, b), (7, c), (5, c), (20, c + " more"), (30, "else"), (30, "other")][::turn]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted({(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 2).collect()})
+    assert got == [(1, 1, True), (5, 1, False), (7, 1, False), (9, 1, False), (20, 1, False), (30, 30, True)]
+    assert sorted(r.doc_id for r in minhash.keep_one(docs, 2).collect()) == [1, 30, 30]
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, odd, words):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
