@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sketches = nodes.select("rep", "n", "sketch")
     held = nodes.select("rep", F.posexplode("bands").alias("band", "bucket"))
     crowded = held.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1").select("bucket")
-    held = stored(held.join(crowded, "bucket"))
+    held = stored(held.join(crowded, "bucket", "left_semi"))
     # full sets of the documents that share a bucket with another, made once
     members = stored(held.select(F.col("rep").alias("id")).distinct())
     sources = texts.filter(F.col("text") != "").withColumnRenamed("doc_id", "id")
