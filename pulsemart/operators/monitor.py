@@ -149,6 +149,9 @@ def lag(progress: DataFrame, threshold: int = defaults.LAG_THRESHOLD) -> DataFra
 # -- access logs -------------------------------------------------------------------------------------------
 
 
+# Size of a sketch of durations, and how far the rank of its percentiles may be off at that size.
+LATENCY_K = 400
+LATENCY_RANK_ERROR = 0.01
 SERVICE_FIELDS = ["request_id", "user", "ip", "method", "path", "status", "duration_ms"]
 _SERVICE_LINE = " ".join(rf"{name}=\S+" for name in SERVICE_FIELDS)
 _EDGE_LINE = r'"\S+ (\S+)[^"]*" (\d{3}) .*cache_status=(\S+) rt=([0-9.]+)'
@@ -183,25 +186,104 @@ def parse_edge_log(lines: DataFrame) -> DataFrame:
     )
 
 
+def _outcomes() -> list[Column]:
+    status = F.col("status")
+    return [
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(status < 400).alias("ok"),
+        F.count_if((status >= 400) & (status < 500)).alias("client_errors"),
+        F.count_if(status >= 500).alias("server_errors"),
+    ]
+
+
 def access_log(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Requests, outcome classes and latency per path and user.
 
     Percentiles are exact: counts per distinct duration (kept to 0.01 ms) that merge, so a hot path costs no more memory
     than its distinct durations.
     """
-    requests = parse_service_log(lines)
-    status = F.col("status")
-    return requests.groupBy(*(keys or ["path", "user"])).agg(
-        F.count(F.lit(1)).alias("requests"),
-        F.count_if(status < 400).alias("ok"),
-        F.count_if((status >= 400) & (status < 500)).alias("client_errors"),
-        F.count_if(status >= 500).alias("server_errors"),
+    return parse_service_log(lines).groupBy(*(keys or ["path", "user"])).agg(
+        *_outcomes(),
         stable_round(F.avg("duration_ms"), 2).alias("avg_ms"),
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_ms)").alias("p50_ms"),
         F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY duration_ms)").alias("p99_ms"),
     )
 
 
+def access_partials(requests: DataFrame, keys: list[str], k: int = LATENCY_K) -> DataFrame:
+    """Mergeable form of the access log: outcome counts and a sketch of the durations (a few kB) by `keys`, from parsed
+    requests. Stored by the hour or day, any span of them is merged without the lines."""
+    duration = F.col("duration_ms")
+    return requests.groupBy(*keys).agg(
+        *_outcomes(),
+        F.sum(duration).alias("duration_sum"),
+        F.count(duration).alias("duration_n"),
+        F.kll_sketch_agg_double(duration, k).alias("durations"),
+    )
+
+
+def merge_access(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Partials united by fewer keys, or those of several loads by the same ones."""
+    totals = ["requests", "ok", "client_errors", "server_errors", "duration_sum", "duration_n"]
+    return parts.groupBy(*keys).agg(
+        *[F.sum(name).alias(name) for name in totals], F.kll_merge_agg_double("durations").alias("durations")
+    )
+
+
+def finish_access(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of `access_log` from partials. Percentiles are values seen, whose rank is off by LATENCY_RANK_ERROR
+    at most (99 % confidence); NULL without any duration."""
+    some = F.col("duration_n") > 0
+
+    def percentile(p: float) -> Column:
+        return F.when(some, F.kll_sketch_get_quantile_double("durations", F.lit(p)))
+
+    return parts.select(
+        *keys,
+        "requests",
+        "ok",
+        "client_errors",
+        "server_errors",
+        stable_round(F.try_divide(F.col("duration_sum"), F.col("duration_n")), 2).alias("avg_ms"),
+        percentile(0.5).alias("p50_ms"),
+        percentile(0.99).alias("p99_ms"),
+    )
+
+
+def service_faults(lines: DataFrame) -> DataFrame:
+    """Lines of the service log by what is wrong with them: `empty`, `no request` and `status` leave the line out of
+    reports, `duration` leaves its request without one."""
+    found = lines.select("line", _tokens(F.regexp_extract("line", _SERVICE_LINE, 0), len(SERVICE_FIELDS)))
+
+    def number(name: str, kind: str) -> Column:
+        at = F.lit(SERVICE_FIELDS.index(name))
+        return F.substring(F.get("t", at), len(name) + 2, 1 << 30).try_cast(kind)
+
+    return _fault_counts(
+        found, F.size("t") == len(SERVICE_FIELDS), {"status": number("status", "int"), "duration": number("duration_ms", "double")}
+    )
+
+
+def edge_faults(lines: DataFrame) -> DataFrame:
+    """Lines of the edge cache by what is wrong with them, as `service_faults` has it."""
+    whole = "^.*?" + _EDGE_LINE + ".*$"
+    rows = lines.withColumn("_time", F.regexp_replace("line", whole, "$4").try_cast("double"))
+    return _fault_counts(rows, F.coalesce(F.col("line").rlike(_EDGE_LINE), F.lit(False)), {"duration": F.col("_time")})
+
+
+def _fault_counts(rows: DataFrame, is_request: Column, values: dict[str, Column]) -> DataFrame:
+    """Lines and one example (the smallest) by reason."""
+    reason = F.when(F.coalesce(F.trim("line"), F.lit("")) == "", "empty").when(~is_request, "no request")
+    for name, value in values.items():
+        reason = reason.when(value.isNull(), name)
+    return (
+        rows.select(reason.alias("reason"), "line")
+        .filter(F.col("reason").isNotNull())
+        .groupBy("reason")
+        .agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("example"))
+    )
+
+
 def cache_ratio(lines: DataFrame) -> DataFrame:
     """Hits per path at the edge cache; requests that never asked the cache ("-") count as misses."""
     hits = F.count_if(F.col("cache_status") == "HIT")

@@ -17,6 +17,13 @@ DAY_KEYS = ["user_id", "report_date"]
 DAY_NAMES = ["customer_name", "prosthesis_id", "prosthesis_model", "prosthesis_serial", "customer_region"]
 HOUR_ORDER = ["report_hour", "prosthesis_id"]
 
+# Distinct counts that merge, by opt-in: sketch column and what it counts. A sketch holds 2^SKETCH_LG_K registers at most
+# (about 4 kB), however many values it has seen.
+SKETCHES = {"users_sketch": "user_id", "devices_sketch": "prosthesis_id"}
+SKETCH_LG_K = 12
+# Three standard errors of a merged sketch of that size (1.04 / sqrt(2^12) each).
+SKETCH_ERROR = 0.05
+
 ADDITIVE = [
     "hour_rows",
     "movements",
@@ -85,6 +92,7 @@ def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
     ]
     if "latest" in parts.columns:
         merged.append(F.max("latest").alias("latest"))
+    merged += [F.hll_union_agg(name).alias(name) for name in SKETCHES if name in parts.columns]
     return parts.groupBy(*keys).agg(*merged)
 
 
@@ -133,6 +141,38 @@ def daily_user(mart: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     return partials(mart, DAY_KEYS, DAY_NAMES, HOUR_ORDER, extra)
 
 
+def sketches(lg_k: int = SKETCH_LG_K) -> list[Column]:
+    """Sketches of distinct users and devices, for `extra` of `partials`; `merge` unites them, `estimate` reads them."""
+    return [F.hll_sketch_agg(counted, lg_k).alias(name) for name, counted in SKETCHES.items()]
+
+
+def estimate(sketch: str) -> Column:
+    """The distinct count a sketch stands for: off by more than SKETCH_ERROR of it about once in 300 times."""
+    return F.hll_sketch_estimate(sketch)
+
+
+def fleet_days(mart: DataFrame) -> DataFrame:
+    """Stored form of the fleet report: partials by date with sketches of users and devices.
+
+    A distinct count of a week can't be had from those of its days, a sketch can: any span of days is merged from one
+    small row a day, without going back to the mart.
+    """
+    return partials(mart, ["report_date"], extra=sketches())
+
+
+def finish_fleet(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Fleet totals with estimated users and devices; `report.fleet_daily` counts them exactly, from the mart."""
+    return parts.select(
+        *keys,
+        estimate("users_sketch").alias("users"),
+        estimate("devices_sketch").alias("devices"),
+        F.col("hour_rows"),
+        F.col("movements").alias("total_movements"),
+        F.col("errors").alias("total_errors"),
+        mean("response_sum", "response_n").alias("avg_response"),
+    )
+
+
 def touched_days(delta: DataFrame) -> DataFrame:
     return delta.select("report_date").distinct()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import change_queries, device_queries, quality_queries, report_queries  # noqa: F401  (they register)
+from . import change_queries, device_queries, quality_queries, report_queries, stored_queries  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES
 
 

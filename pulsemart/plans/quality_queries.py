@@ -133,6 +133,45 @@ def access_log_paths(spark, folder):
     return monitor.access_log(st.service_log(spark, folder), ["path"])
 
 
+@query(
+    "access_log_merged",
+    f"""SELECT '/api/reports/' || event_type AS path, count(*) AS requests,
+          count(*) FILTER (WHERE event_type NOT IN ('error', 'view')) AS ok,
+          count(*) FILTER (WHERE event_type = 'view') AS client_errors,
+          count(*) FILTER (WHERE event_type = 'error') AS server_errors, {r("avg(value)", 2)} AS avg_ms,
+          true AS p50_near, true AS p99_near
+        FROM events WHERE event_id % 1000 <> 999 GROUP BY event_type""",
+)
+def access_log_merged(spark, folder):
+    """Paths from the merged partials of their users; percentiles out of sketches lie between the exact ones as far below
+    and above as sketches may be off."""
+    requests = monitor.parse_service_log(st.service_log(spark, folder))
+    parts = monitor.access_partials(requests, ["path", "user"])
+    merged = monitor.finish_access(monitor.merge_access(parts, ["path"]), ["path"])
+    off = monitor.LATENCY_RANK_ERROR
+    bounds = {f"p{name}_{side}": f"percentile_disc({max(0, min(1, p + by)):.4f}) WITHIN GROUP (ORDER BY duration_ms)"
+              for name, p in (("50", 0.5), ("99", 0.99)) for side, by in (("low", -off), ("high", off))}
+    exact = requests.groupBy("path").agg(*[F.expr(e).alias(name) for name, e in bounds.items()])
+
+    def near(name: str):
+        return F.col(f"p{name}_ms").between(F.col(f"p{name}_low"), F.col(f"p{name}_high")).alias(f"p{name}_near")
+
+    totals = ["path", "requests", "ok", "client_errors", "server_errors", "avg_ms"]
+    return merged.join(exact, "path").select(*totals, near("50"), near("99"))
+
+
+@query(
+    "log_faults",
+    """SELECT 'service' AS log, 'no request' AS reason, count(*) AS lines, 'worker started' AS example
+       FROM events WHERE event_id % 1000 = 999 HAVING count(*) > 0""",
+)
+def log_faults(spark, folder):
+    """Lines of both logs that are no requests, with the reason."""
+    service = monitor.service_faults(st.service_log(spark, folder)).select(F.lit("service").alias("log"), "*")
+    edge = monitor.edge_faults(st.edge_log(spark, folder)).select(F.lit("edge").alias("log"), "*")
+    return service.unionByName(edge)
+
+
 @query(
     "cache_ratio",
     f"""SELECT '/reports/' || user_id || '/summary/summary.json' AS path, count(*) AS requests,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import day_mask_hours, stable_round
+from ..functions import day_mask_hours, month_key, stable_round
 from ..operators import cdc, monitor, publish, report, rollup, upsert
 from ..sources import sample_tables as st
 from .oracle import n, r, rate, sql
@@ -421,6 +422,38 @@ def distinct_counts(spark, folder):
     )
 
 
+def _around(column: str) -> Column:
+    """Whether an estimate is as near its exact count as sketches promise."""
+    exact = F.col(column)
+    return (F.abs(F.col(f"{column}_estimate") - exact) <= F.greatest(exact * rollup.SKETCH_ERROR, F.lit(1))).alias(f"{column}_near")
+
+
+@query(
+    "fleet_months",
+    sql(
+        f"""SELECT CAST(year(report_date) * 100 + month(report_date) AS INTEGER) AS report_month,
+              count(DISTINCT user_id) AS users, count(DISTINCT prosthesis_id) AS devices, count(*) AS hour_rows,
+              {_DAY_TOTALS.split(" AS total_movements")[0]} AS total_movements, {n("sum(error_count)")} AS total_errors,
+              true AS users_near, true AS devices_near
+            FROM mart GROUP BY 1""",
+        "mart",
+    ),
+)
+def fleet_months(spark, folder):
+    """Months merged from stored days, whose sketches of users and devices are set against exact counts of the mart."""
+    mart = _mart(spark, folder)
+    month = month_key(F.col("report_date")).alias("report_month")
+    days = rollup.fleet_days(mart).withColumn("report_month", month_key(F.col("report_date")))
+    merged = rollup.finish_fleet(rollup.merge(days, ["report_month"]), ["report_month"])
+    estimated = merged.withColumnsRenamed({"users": "users_estimate", "devices": "devices_estimate"})
+    exact = mart.groupBy(month).agg(
+        F.count_distinct("user_id").alias("users"), F.count_distinct("prosthesis_id").alias("devices")
+    )
+    return estimated.join(exact, "report_month").select(
+        "report_month", "users", "devices", "hour_rows", "total_movements", "total_errors", _around("users"), _around("devices")
+    )
+
+
 # -- loads and published documents -------------------------------------------------------------------------
 
 

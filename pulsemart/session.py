@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 TIME_ZONE = "UTC"
@@ -70,3 +73,12 @@ def shared_dir(spark: SparkSession, unset: str | None = None) -> str:
     if unset is None:
         raise ValueError("spark.checkpoint.dir is not set and no folder was given")
     return unset.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of this run, in the folder the cluster shares. A folder of this machine stands in only
+    where none is named and the session is local."""
+    master = spark.sparkContext.master
+    if spark.conf.get("spark.checkpoint.dir", None) is None and (master == "local" or master.startswith("local[")):
+        return f"{tempfile.mkdtemp()}/{name}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
