@@ -16,6 +16,10 @@ from . import report, upsert
 
 KINDS = ("list", "summary", "daily")
 BUCKETS = 64
+# A bucket of one day holds the reports of so many users at most, as far as the users of the first load tell.
+USERS_PER_BUCKET = 20_000
+# File below the documents that holds how many buckets they are kept in; readers of files pass over it.
+LAYOUT = "_layout"
 PARTITIONS = ["kind", "day", "bucket"]
 SORT = ["user_id", "object_key"]
 FIELDS = schemas.PUBLISHED.fieldNames()
@@ -44,6 +48,32 @@ def bucket_of(user: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(user), F.lit(buckets)).cast("int")
 
 
+def buckets_for(users: int) -> int:
+    """Buckets for that many users: a power of two."""
+    return 1 << (max(1, -(-users // USERS_PER_BUCKET)) - 1).bit_length()
+
+
+def buckets_at(spark: SparkSession, path: str, default: int = BUCKETS) -> int:
+    """Buckets the documents at `path` are kept in."""
+    place = f"{path}/{LAYOUT}"
+    return int(spark.read.text(place).first()[0]) if upsert.path_exists(spark, place) else default
+
+
+def _settle(mart: DataFrame, path: str, buckets: int | None) -> int:
+    """Buckets for documents at `path`: those that are there already, else the given number, else one from the number of
+    users. It stays for good, since files of two layouts could not be told apart; a new layout takes a new folder."""
+    spark = mart.sparkSession
+    place = f"{path}/{LAYOUT}"
+    if upsert.path_exists(spark, path):
+        known = buckets_at(spark, path)
+        if buckets is not None and buckets != known:
+            raise ValueError(f"documents at {path} are kept in {known} buckets, not {buckets}")
+        return known
+    chosen = buckets or buckets_for(mart.agg(F.approx_count_distinct("user_id")).first()[0])
+    spark.range(1).select(F.lit(str(chosen)).alias("value")).coalesce(1).write.text(place)
+    return chosen
+
+
 def documents(mart: DataFrame, kind: str, buckets: int = BUCKETS) -> DataFrame:
     """The documents of one kind, serialised. Daily ones are reports and, apart from them, the hours of each device:
     one form for every size of account."""
@@ -82,13 +112,14 @@ def all_documents(mart: DataFrame, kinds=KINDS, buckets: int = BUCKETS) -> DataF
     return result
 
 
-def read(spark: SparkSession, path: str, kind: str | None = None, user_id: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def read(spark: SparkSession, path: str, kind: str | None = None, user_id: str | None = None) -> DataFrame:
     """Published documents; kind and user narrow the scan to single directories."""
     rows = spark.read.schema(schemas.PUBLISHED).json(path)
     if kind is not None:
         rows = rows.filter(F.col("kind") == kind)
     if user_id is not None:
-        rows = rows.filter((F.col("bucket") == bucket_of(F.lit(user_id), buckets)) & (F.col("user_id") == user_id))
+        bucket = bucket_of(F.lit(user_id), buckets_at(spark, path))
+        rows = rows.filter((F.col("bucket") == bucket) & (F.col("user_id") == user_id))
     return rows
 
 
@@ -108,8 +139,9 @@ def refreshed(mart: DataFrame, users: DataFrame | None, kinds=KINDS, buckets: in
     return all_documents(rows, kinds, buckets)
 
 
-def write_all(mart: DataFrame, path: str, kinds=KINDS, buckets: int = BUCKETS) -> None:
+def write_all(mart: DataFrame, path: str, kinds=KINDS, buckets: int | None = None) -> None:
     """Publishes everyone's documents, replacing whatever was there of these kinds."""
+    buckets = _settle(mart, path, buckets)
     below = ["day", "bucket"]
     for kind in kinds:
         rows = documents(mart, kind, buckets).drop("kind")
@@ -135,7 +167,7 @@ def refresh(
     path: str,
     users: DataFrame | None = None,
     kinds=KINDS,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> None:
     """Brings all published documents of `users` up to date; without users, of everyone.
 
@@ -145,6 +177,7 @@ def refresh(
     if users is None or not upsert.path_exists(spark, path):
         write_all(mart, path, kinds, buckets)
         return
+    buckets = _settle(mart, path, buckets)
     users = users.select("user_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     try:
         hit = users.select(bucket_of(F.col("user_id"), buckets).alias("bucket")).distinct()
@@ -156,7 +189,7 @@ def refresh(
 
 
 def refresh_load(
-    spark: SparkSession, mart: DataFrame, days: DataFrame, delta: DataFrame, path: str, buckets: int = BUCKETS
+    spark: SparkSession, mart: DataFrame, days: DataFrame, delta: DataFrame, path: str, buckets: int | None = None
 ) -> None:
     """Brings published documents up to date after a load that added or replaced the mart rows in `delta`.
 
@@ -167,6 +200,7 @@ def refresh_load(
     if not upsert.path_exists(spark, path):
         write_all(mart, path, buckets=buckets)
         return
+    buckets = _settle(mart, path, buckets)
     keys = ["user_id", "report_date"]
     pairs = delta.select(*keys).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     try:

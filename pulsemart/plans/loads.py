@@ -47,7 +47,7 @@ def load_mart(
     rollup_path: str | None = None,
     days_path: str | None = None,
     documents_path: str | None = None,
-    document_buckets: int = publish.BUCKETS,
+    document_buckets: int | None = None,
     replace: bool = True,
     since: dt.datetime | None = None,
 ) -> dict:

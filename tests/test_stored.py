@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 import seeds
 
-from pulsemart.operators import hourly, mart
+from pulsemart.operators import hourly, mart, publish
 from pulsemart.sources import bucketed
 from pulsemart.streaming import state, telemetry
 from pulsemart.streaming.triggers import DRAIN_ONCE
@@ -74,3 +74,16 @@ def test_open_windows_of_a_stopped_stream(spark, path):
     assert {r.chip_id: r.open_groups for r in chips} == {r.chip_id: r["count"] for r in hours.groupBy("chip_id").count().collect()}
     assert all(r.state_bytes > 0 for r in chips)
     assert state.operators(spark, path + "/cp").select("operatorName").first()[0] == "stateStoreSave"
+
+
+def test_published_documents_keep_their_buckets(spark, path):
+    rows = seeds.mart(spark, [seeds.mart_row(f"u{i}", i, dt.date(2024, 3, 1), 8) for i in range(9)])
+    out = path + "/docs"
+    publish.write_all(rows, out, buckets=4)
+    assert publish.buckets_at(spark, out) == 4
+    publish.refresh(spark, rows.filter("user_id <> 'u3'"), out, rows.filter("user_id in ('u3', 'u4')"))
+    assert publish.read(spark, out, "daily", "u3").count() == 0 and publish.read(spark, out, "daily", "u4").count() == 2
+    assert publish.read(spark, out, "summary").select("bucket").distinct().count() <= 4
+    with pytest.raises(ValueError):
+        publish.write_all(rows, out, buckets=8)
+    assert [publish.buckets_for(n) for n in (0, 1, 20_000, 20_001, 10**9)] == [1, 1, 1, 2, 65536]
