@@ -31,6 +31,8 @@ NOTICES = {
 }
 #: One edit (a character put in, left out or exchanged) is allowed for so many characters of a notice.
 CHARS_PER_EDIT = 10
+#: Label words shorter than this must stand unedited, for one edit makes another word of them.
+SHORT_WORD = 4
 
 _SEPARATORS = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _TO_BLANK = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
@@ -55,7 +57,8 @@ class NoticeSearch:
 
     A notice for which k edits are allowed is split into k + 1 parts. Wherever it stands with k edits or fewer, at least
     one part is untouched, so exact hits of the parts (all found in one pass of an automaton) locate every candidate.
-    Around a hit the regex library matches the notice with bounded errors, which verifies the edits and gives the span.
+    Around a hit the regex library matches the notice with bounded errors, which verifies the edits and gives the span. A
+    short word that is the label itself has to stand there unedited: in "kit license" nothing tells of the MIT license.
     """
 
     def __init__(self, notices: dict[str, str]):
@@ -63,8 +66,7 @@ class NoticeSearch:
         self.seeds = ahocorasick.Automaton()
         for i, (notice, label) in enumerate(notices.items()):
             edits = len(notice) // CHARS_PER_EDIT
-            pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?![^ ])")
-            self.notices.append((label, len(notice), edits, pattern))
+            self.notices.append((label, len(notice), edits, _pattern(notice, label, edits)))
             bounds = [len(notice) * k // (edits + 1) for k in range(edits + 2)]
             for a, b in zip(bounds, bounds[1:], strict=False):
                 known = self.seeds.get(notice[a:b], ())
@@ -73,29 +75,57 @@ class NoticeSearch:
 
     def spans(self, text: str) -> list[Span]:
         """Spans in a text of words joined by single spaces, by start; those of one notice don't overlap."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for last, hits in self.seeds.iter(text):
             for i, a, b in hits:
                 _, size, edits, _ = self.notices[i]
                 start = last + 1 - b - edits - 1
-                end = start + size + 2 * edits + 2
-                known = windows.setdefault(i, [])
-                if known and start <= known[-1][1]:
-                    known[-1][0] = min(known[-1][0], start)
-                    known[-1][1] = max(known[-1][1], end)
-                else:
-                    known.append([start, end])
+                windows.setdefault(i, []).append((start, start + size + 2 * edits + 2))
         out = []
         for i, places in windows.items():
-            label, size, _, pattern = self.notices[i]
-            for start, end in places:
-                for m in pattern.finditer(text, max(0, start), min(len(text), end)):
+            label, size, allowed, pattern = self.notices[i]
+            for start, end in _united(places):
+                at, end = max(0, start), min(len(text), end)
+                while m := pattern.search(text, at, end):
                     edits = sum(m.fuzzy_counts)
+                    if edits > allowed:
+                        # each run of words kept the bound, the whole does not: go on at the next word
+                        at = text.find(" ", m.start(), end) + 1
+                        if not at:
+                            break
+                        continue
                     first = text.count(" ", 0, m.start())
                     out.append(Span(label, first, m.group().count(" ") + 1, edits, 1 - edits / size))
+                    at = m.end()
         return sorted(out, key=lambda s: (s.start, s.label, s.length))
 
 
+def _pattern(notice: str, label: str, edits: int) -> regex.Pattern:
+    """The notice between word ends, with edits in every run of words between those that have to stand as they are. The
+    first match is taken and improved (not the best one of the rest of the window, which would pass over those before)."""
+    runs: list[tuple[bool, list[str]]] = []
+    for word in notice.split():
+        fixed = len(word) < SHORT_WORD and word in label.split()
+        if runs and runs[-1][0] == fixed:
+            runs[-1][1].append(word)
+        else:
+            runs.append((fixed, [word]))
+    texts = [(fixed, regex.escape(" ".join(run), literal_spaces=True)) for fixed, run in runs]
+    body = " ".join(text if fixed else f"(?:{text}){{e<={edits}}}" for fixed, text in texts)
+    return regex.compile(rf"(?e)(?<![^ ])(?:{body})(?![^ ])")
+
+
+def _united(places: list[tuple[int, int]]) -> list[list[int]]:
+    """Overlapping windows as one."""
+    out: list[list[int]] = []
+    for start, end in sorted(places):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def places(text: str, phrase: str) -> list[int]:
     """Word numbers at which the phrase stands in a text of words joined by single spaces."""
     padded, sought, out = f" {text} ", f" {phrase} ", []

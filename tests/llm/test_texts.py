@@ -66,6 +66,52 @@ def test_every_edit_within_the_bound_is_found():
         assert search.spans("aaa bbb " + "".join(text) + " ccc"), "".join(text)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize(
+    ("text", "starts"),
+    [
+        ("mit licence mit license", [0, 2]),
+        ("mit licens foo mit license mit licens", [0, 3, 5]),
+        ("general public licens general public license general publik license", [0, 3, 3, 6, 6]),
+        ("kit license it license m t license emit license mitx license", []),
+        ("released under the kit license", []),
+        ("releasd under teh mit licence", [3]),
+    ],
+)
+def test_nearby_notices_are_all_found_and_label_words_stand(text, starts):
+    found = licenses.NoticeSearch({"mit license": "mit", "general public license": "gpl"}).spans(text)
+    assert sorted({s.start for s in found}) == sorted(set(starts))
+
+
+def test_spans_against_edit_distances():
+    """Every run of words within the bound of a notice meets a span, and every span is within the bound."""
+    search = licenses.NoticeSearch({"general public license": "gpl", "creative commons attribution": "cc"})
+    rng = np.random.default_rng(11)
+    pool = ["general", "public", "license", "creative", "commons", "attribution", "licens", "publik", "genral", "comons", "x", "the"]
+    for _ in range(150):
+        w = [pool[int(i)] for i in rng.integers(len(pool), size=14)]
+        if rng.integers(2):
+            at = int(rng.integers(10))
+            w[at : at + 3] = ["general", ["public", "publc"][int(rng.integers(2))], ["license", "licence"][int(rng.integers(2))]]
+        spans = search.spans(" ".join(w))
+        for notice, label, edits in (("general public license", "gpl", 2), ("creative commons attribution", "cc", 2)):
+            mine = [(s.start, s.start + s.length) for s in spans if s.label == label]
+            for a, b in mine:
+                assert edit_distance(" ".join(w[a:b]), notice) <= edits
+            for a in range(len(w)):
+                for b in range(a + 1, min(len(w), a + 5) + 1):
+                    if edit_distance(" ".join(w[a:b]), notice) <= edits:
+                        assert any(s < b and a < e for s, e in mine), (w, a, b)
+
+
 def brute_statistics(text):
     text = text or ""
     w = WORD.findall(text)
