@@ -1,4 +1,4 @@
-"""Main text of web pages: structure first, then removal of templates that a site repeats on many pages."""
+"""Main text of web pages: what a site repeats on many pages goes first, structure decides about the rest."""
 
 from __future__ import annotations
 
@@ -11,23 +11,31 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches
 
-#: A subtree is a template where it stands on so many different pages of its host, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.02
-#: Pages with templates in their main text are sent to all tasks up to so many, and joined by a shuffle beyond.
-FEW_PAGES = 50_000
+#: A subtree is a template where it stands on so many different pages of its host, and on log2 of their number.
+MIN_PAGES = 5
+#: Templates are sent to all tasks (8 bytes each) up to so many, and joined to their pages by a shuffle beyond.
+FEW_TEMPLATES = 100_000
+#: Shuffle keys over which the pages of one template are spread in that join.
+SALTS = 16
 
 #: Elements without main text.
 DROPPED = set(
     """head script style noscript template iframe object embed svg canvas nav footer aside form button select textarea
     input dialog menu audio video map title""".split()
 )
-#: Parts of class names, ids and roles of elements without main text.
+#: Class names, ids and roles of elements without main text, alone or joined to each other and to NEUTRAL_NAMES.
 DROPPED_NAMES = set(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar
     navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice popup modal newsletter subscribe
     subscription share sharing social related comment comments disqus widget pagination pager toolbar skip search login
     signup complementary contentinfo dialog alert""".split()
 )
+#: Name parts that tell nothing of their own: `share-buttons` shares, `share-price` does not.
+NEUTRAL_NAMES = set(
+    """area banner bar block bottom box btn button buttons col column container content desktop fixed form global group header
+    icon icons inner item items left link links list mobile module outer panel posts primary right row secondary section
+    site slot sticky text title top unit wrap wrapper""".split()
+)
 #: Dropped outside an article or main element; inside one they hold its own title.
 OUTER = {"header", "banner", "masthead", "topbar"}
 BLOCKS = set(
@@ -44,7 +52,7 @@ CLOSES = {
 #: Elements an implied end does not reach across.
 SCOPES = {"table", "ul", "ol", "dl", "select", "div", "section", "article", "main", "aside", "nav", "body", "html", "td", "th"}
 #: Elements that are looked at as templates. Paragraphs and headings of an article are its text, however often repeated.
-CONTAINERS = set("div section ul ol dl table aside header footer figure details center fieldset".split())
+CONTAINERS = set("div section ul ol dl table aside header footer figure details center fieldset nav form menu".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -60,17 +68,19 @@ _PART = re.compile(r"[^a-z0-9]+")
 
 
 class _Element:
-    __slots__ = ("article", "children", "dropped", "first", "main", "tag")
+    __slots__ = ("article", "children", "dropped", "first", "main", "tag", "worded")
 
     def __init__(self, tag: str, dropped: bool, article: bool, main: bool, first: int):
         self.tag, self.dropped, self.article, self.main, self.first = tag, dropped, article, main, first
         self.children = xxhash.xxh64(tag)
+        self.worded = False  # holds some text, of its own or below
 
 
 class Page:
-    """Pieces of text of a page that structure leaves, and the subtrees they stand in."""
+    """Pieces of text of a page that structure leaves, and all its subtrees, of the page's host."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, host: str = ""):
+        self.host = xxhash.xxh64(host.encode("utf-8", "replace")).digest()
         self.pieces: list[str] = []  # blanks at block ends are pieces too
         self.kinds: list[int] = []  # 2: in an article, 1: in the main element, 0: elsewhere
         self.subtrees: list[tuple[int, int, int]] = []  # digest, first piece, piece behind the last
@@ -94,11 +104,16 @@ class Page:
             self._text(source[at:], stack[-1])
         while len(stack) > 1:
             self._close(stack)
-        most = max(self.kinds, default=0)
-        self.used = [k == most for k in self.kinds]
+        sizes = [0, 0, 0]
+        for kind, piece in zip(self.kinds, self.pieces, strict=True):
+            sizes[kind] += len(piece.strip())
+        # articles are the text unless they are the smaller part of a main element, such as teasers below an essay
+        least = 2 if sizes[2] and sizes[2] >= sizes[1] else 1 if sizes[1] else 2 if sizes[2] else max(self.kinds, default=0)
+        self.used = [k >= least for k in self.kinds]
 
     def _text(self, text: str, inside: _Element) -> None:
         if text.strip():
+            inside.worded = True
             inside.children.update(" ".join(text.split()).encode("utf-8", "replace"))
         if not inside.dropped:
             self.pieces.append(entities.unescape(text) if "&" in text else text)
@@ -124,8 +139,8 @@ class Page:
         if attributes and not dropped:
             dropped = bool(_HIDDEN.search(attributes))
             for m in _NAMES.finditer(attributes):
-                for name in _PART.split((m[2] or m[3] or m[4] or "").lower()):
-                    if tag not in ("body", "html", "article", "main") and (name in DROPPED_NAMES or (name in OUTER and not inner)):
+                for name in (m[2] or m[3] or m[4] or "").lower().split():
+                    if tag not in ("body", "html", "article", "main") and _tells(name, inner):
                         dropped = True
                     elif name == "main" and m[1].lower() == "role":
                         main = True
@@ -146,25 +161,35 @@ class Page:
         done = stack.pop()
         digest = done.children.intdigest()
         stack[-1].children.update(digest.to_bytes(8, "little"))
-        if not done.dropped and done.tag in CONTAINERS and len(self.pieces) > done.first:
-            self.subtrees.append((digest - (1 << 64) if digest >= 1 << 63 else digest, done.first, len(self.pieces)))
+        stack[-1].worded |= done.worded
+        if done.worded and done.tag in CONTAINERS and not (done.dropped and stack[-1].dropped):
+            key = xxhash.xxh64(self.host + digest.to_bytes(8, "little")).intdigest()
+            self.subtrees.append((key - (1 << 64) if key >= 1 << 63 else key, done.first, len(self.pieces)))
 
-    def templates(self) -> list[int]:
-        """Digests of subtrees that hold some of the main text, but not most of it."""
+    def candidates(self) -> list[int]:
+        """Digests of subtrees (of this host) that don't hold most of the text structure leaves."""
         sizes = [len(p.strip()) if u else 0 for p, u in zip(self.pieces, self.used, strict=True)]
         before = [0]
         for s in sizes:
             before.append(before[-1] + s)
-        return sorted({d for d, a, b in self.subtrees if 0 < 2 * (before[b] - before[a]) < before[-1]})
+        return sorted({d for d, a, b in self.subtrees if 2 * (before[b] - before[a]) < before[-1]})
+
+    def text(self, templates: set[int] | frozenset[int]) -> tuple[str, int, int]:
+        """The text without templates, how many stand on the page, and the characters structure would have left of them."""
+        here = templates.intersection(self.candidates()) if templates else ()
+        used = list(self.used)
+        for digest, a, b in self.subtrees:
+            if digest in here:
+                used[a:b] = [False] * (b - a)
+        gone = sum(len(p.strip()) for p, u, v in zip(self.pieces, self.used, used, strict=True) if u and not v)
+        return " ".join("".join([p if u else " " for p, u in zip(self.pieces, used, strict=True)]).split()), len(here), gone
 
-    def text(self, templates: set[int]) -> str:
-        used = self.used
-        if templates:
-            used = list(used)
-            for digest, a, b in self.subtrees:
-                if digest in templates:
-                    used[a:b] = [False] * (b - a)
-        return " ".join("".join([p if u else " " for p, u in zip(self.pieces, used, strict=True)]).split())
+
+def _tells(name: str, inner: bool) -> bool:
+    """Whether a class name, id or role marks an element without main text."""
+    parts = [p for p in _PART.split(name) if p and not p.isdigit()]
+    known = [p in DROPPED_NAMES or (p in OUTER and not inner) for p in parts]
+    return any(known) and all(k or p in NEUTRAL_NAMES for k, p in zip(known, parts, strict=True))
 
 
 def _host():
@@ -172,18 +197,21 @@ def _host():
     return host.alias("host")
 
 
-def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url, text of each row of pages (page_id, url, html).
+def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, few: int = FEW_TEMPLATES) -> DataFrame:
+    """page_id, url, text, n_templates, n_template_chars of each row of pages (page_id, url, html).
 
-    The main text is what stands in article elements, else in the main element, else in the body, without the elements
-    that structure (tag, class, id, role) tells to be menus, headers, footers, sidebars, notices, adverts, forms, code or
-    comments. From that, site templates are deleted: every container element is hashed with all it holds, hashes are
-    counted per host over different pages (copies of a page count once), and what stands on `min_pages` pages or more and
-    on `min_share` of the host's pages goes. Paragraphs and headings of an article stay, however often they recur, and so
-    does a container that holds most of a page's text.
+    Site templates go first: every container element of the whole page, menus and notices included, is hashed with all it
+    holds, hashes are counted per host over different pages (copies of a page count once), and what stands on `min_pages`
+    pages or more, and on log2 of the host's pages or more, is deleted wherever it stands on that host. So the bar hardly
+    rises with the host (5 up to 32 pages, 20 at a million), and a block of one section of a large site is a template too.
+    n_templates counts the different ones of a page. Structure (tag, class, id, role) decides about what counts can't tell,
+    such as a menu that differs on every page: the main text is what stands in article elements, else in the main element,
+    else in the body, without menus, headers, footers, sidebars, notices, adverts, forms, code and comments.
+    n_template_chars are the characters that structure alone would have left. Paragraphs and headings stay, however
+    often they recur, and so does a container that holds most of a page's text.
 
-    Hashes are counted with map-side sums by host, subtree and page first, so a large host is spread. HTML is never
-    shuffled unless more than FEW_PAGES different pages hold templates in their main text.
+    Hashes are counted with map-side sums by host, subtree and page first, so a large host is spread. Pages are not
+    shuffled while there are `few` templates or less; beyond, each page is joined to its own.
 
     A null html is an empty one and gives the empty text; pages without a host in their url share the empty host. Each
     row is treated on its own, rows of one page_id or none included. Other columns are not read; an empty table gives an
@@ -195,28 +223,41 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def subtrees(batches):
         for batch in batches:
-            yield {"host": batch["host"], "version": batch["version"], "subtrees": [Page(h).templates() for h in batch["html"]]}
+            found = [Page(h, host).candidates() for h, host in zip(batch["html"], batch["host"], strict=True)]
+            yield {"host": batch["host"], "version": batch["version"], "subtrees": found}
 
     seen = checkpoint(map_batches(
         source.select("host", "version", "html"), subtrees, "host string, version long, subtrees array<long>"
     ))
+    # a digest has its host in it
     pairs = seen.select("host", "version", F.explode("subtrees").alias("subtree")).distinct()
     sizes = seen.select("host", "version").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    shared = (
+    shared = checkpoint((
         pairs.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-        .join(sizes, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "subtree")
-    )
-    hits = checkpoint((
-        pairs.join(shared, ["host", "subtree"]).groupBy("host", "version").agg(F.collect_set("subtree").alias("templates"))
-    ))
-    few = hits.limit(FEW_PAGES + 1).count() <= FEW_PAGES
-    marked = source.join(F.broadcast(hits) if few else hits, ["host", "version"], "left")
+        .join(sizes, "host").filter(F.expr("pages <= shiftleft(1L, CAST(least(n, 62) AS INT))")).select("subtree")
+    ))
+    known = frozenset(r.subtree for r in shared.limit(few + 1).collect())
+    if len(known) <= few:
+        marked = source.withColumn("templates", F.lit(None).cast("array<long>"))
+    else:
+        known = frozenset()
+        salted = pairs.withColumn("salt", F.pmod("version", F.lit(SALTS)))
+        spread = shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        hits = salted.join(spread, ["subtree", "salt"]).groupBy("host", "version").agg(F.collect_set("subtree").alias("templates"))
+        marked = source.join(hits, ["host", "version"], "left")
 
     def extract(batches):
         for batch in batches:
-            texts = [Page(h).text(set(t or ())) for h, t in zip(batch["html"], batch["templates"], strict=True)]
-            yield {"page_id": batch["page_id"], "url": batch["url"], "text": texts}
+            columns = (batch["html"], batch["host"], batch["templates"])
+            found = [Page(h, host).text(known or frozenset(t or ())) for h, host, t in zip(*columns, strict=True)]
+            text, n, gone = zip(*found, strict=True) if found else ((), (), ())
+            yield {
+                "page_id": batch["page_id"], "url": batch["url"], "text": list(text), "n_templates": list(n),
+                "n_template_chars": list(gone),
+            }
 
     return map_batches(
-        marked.select(F.col("page_id").cast("long"), "url", "html", "templates"), extract, "page_id long, url string, text string"
+        marked.select(F.col("page_id").cast("long"), "url", "html", "host", "templates"),
+        extract,
+        "page_id long, url string, text string, n_templates long, n_template_chars long",
     )

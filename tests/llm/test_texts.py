@@ -204,6 +204,39 @@ def test_copies_of_a_page_are_no_templates(spark):
     assert {r.text for r in html_text.main_text(pages(spark, rows)).collect()} == {"Head & line a boldword next one Read our other pages"}
 
 
+def test_names_inside_an_article_are_judged_whole(spark):
+    kept = ["share-price", "search-engine", "related-work", "comment-theory", "notice-period"]
+    gone = ["share-buttons", "related_posts", "sidebar left", "ad-slot-3", "cookie-banner box", "comments"]
+    html = "<article>" + "".join(f"<div class='{c}'>{i}</div>" for i, c in enumerate(kept + gone)) + "</article>"
+    html2 = "<main><p>a long essay about things</p><article>teaser</article><p>goes on</p></main>"
+    got = [r.text for r in html_text.main_text(pages(spark, [(1, "http://a/", html, "", 1), (2, "http://b/", html2, "", 1)])).orderBy("page_id").collect()]
+    assert got == ["0 1 2 3 4", "a long essay about things teaser goes on"]
+
+
+@pytest.mark.parametrize("few", [html_text.FEW_TEMPLATES, 0])
+def test_templates_equal_brute_force(spark, few):
+    """Whole pages of blocks, some of them repeated on many pages of a host, some named, some neither."""
+    rng = np.random.default_rng(8)
+    rows, blocks = [], {}
+    for page in range(400):
+        host = "hot" if page % 3 == 0 else f"h{page % 7}"
+        parts = [f"common {int(rng.integers(6))}", f"rare {int(rng.integers(90))}", f"own {page} " + "word " * 20]
+        named = f"<nav>links {int(rng.integers(3))}</nav><div class='ad'>buy {page}</div>"
+        rows.append((page, f"http://{host}/{page}", named + "".join(f"<div>{p}</div>" for p in parts), "x", 1))
+        blocks[page] = (host, parts, re.search("links .", named).group())
+    pages_of = Counter(h for h, _, _ in blocks.values())
+    seen = Counter((h, p) for h, parts, nav in blocks.values() for p in {*parts, nav})
+    expected = {}
+    for page, (host, parts, nav) in blocks.items():
+        def template(p):
+            return seen[host, p] >= 5 and 2 ** seen[host, p] >= pages_of[host]
+        text = " ".join(" ".join(p for p in parts if not template(p)).split())
+        expected[page] = (text, sum(template(p) for p in (*parts, nav)), sum(len(p) for p in parts if template(p)))
+    got = html_text.main_text(pages(spark, rows), few=few).collect()
+    assert {r.page_id: (r.text, r.n_templates, r.n_template_chars) for r in got} == expected
+    assert any(n for _, n, _ in expected.values()) and len(got) == 400
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = table(spark, MORE, "documents"), table(spark, MORE, "labels")
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out").collect()
