@@ -96,7 +96,8 @@ def decode(messages: DataFrame, entity: str) -> DataFrame:
         "m",
         (F.col("m").isNull() | F.col(f"m.{CORRUPT}").isNotNull()).alias(CORRUPT),
     )
-    return rows.withColumn(REASON, _reason(entity)).drop(CORRUPT, "m")
+    # the reason as a row of its own: a filter on it would otherwise take a copy of all checks below this projection
+    return rows.withColumn(REASON, _reason(entity)).drop(CORRUPT, "m").withColumn(REASON, _once(F.col(REASON)))
 
 
 def split_corrupt(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -100,6 +100,16 @@ def test_messages_and_lines_are_parsed_once(spark):
     assert plan(monitor.access_log(st.service_log(spark, FOLDER))).count("regexp_extract") == 1
 
 
+def test_checks_of_messages_run_once_a_row(spark):
+    """A filter on the reason takes no copy of the checks, and the generated code stays small enough to be compiled."""
+    good, _ = cdc.split_corrupt(cdc.decode(st.messages(st.prosthesis_log(spark, FOLDER)), "prostheses"))
+    counts = monitor.fault_counts({e: cdc.decode(st.faulty_messages(log, e), e) for e, log in st.change_logs(spark, FOLDER).items()})
+    for rows, topics in ((good, 1), (counts, 3)):
+        text = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("THEN malformed") == topics
+        assert not [line for line in text.splitlines() if "Filter" in line and "malformed" in line]
+
+
 def test_loads_write_even_sorted_files(spark):
     text = plan(upsert.arrange(upsert.with_partitions(st.mart_rows(spark, FOLDER)), mart_store.PARTITIONS, mart_store.SORT))
     assert "REBALANCE_PARTITIONS_BY_COL" in text
