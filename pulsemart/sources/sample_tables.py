@@ -274,9 +274,8 @@ def messages(log: DataFrame, broken_every: int = 101) -> DataFrame:
         F.struct(*fields, F.col("_op").alias("__op"), F.lit("t").alias("__table"), F.col("_version").alias("__source_ts_ms"))
     )
     broken = F.pmod(F.col("_seq"), F.lit(broken_every)) == 0
-    return log.select(
-        F.substring(body, F.lit(1), F.when(broken, 20).otherwise(1 << 30)).alias("value"), F.col("_seq").alias("seq")
-    )
+    whole = log.select(body.alias("value"), F.col("_seq").alias("seq"), broken.alias("_broken"))
+    return whole.select(F.when(F.col("_broken"), F.substring("value", 1, 20)).otherwise(F.col("value")).alias("value"), "seq")
 
 
 #: For each entity, a column of text, one that its table needs, and a time.

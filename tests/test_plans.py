@@ -11,6 +11,7 @@ import pytest
 import seeds
 from hypothesis import given, settings
 from hypothesis import strategies as st_
+from pyspark.sql import functions as F
 
 from pulsemart.operators import cdc, hourly, mart, monitor, profiles, publish, report, rollup, upsert
 from pulsemart.plans import catalog
@@ -110,6 +111,16 @@ def test_checks_of_messages_run_once_a_row(spark):
         assert not [line for line in text.splitlines() if "Filter" in line and "malformed" in line]
 
 
+def test_whole_messages_are_not_copied(spark):
+    """Only a message to be cut off goes through substring, which walks all its characters; each text is built once."""
+    rows = st.messages(st.prosthesis_log(spark, FOLDER))
+    text = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("StructsToJson") == 1 and "1073741824" not in text
+    cut, size = F.pmod("seq", F.lit(101)) == 0, F.length("value")
+    sizes = {r.cut: (r.least, r.most) for r in rows.groupBy(cut.alias("cut")).agg(F.min(size).alias("least"), F.max(size).alias("most")).collect()}
+    assert sizes[True] == (20, 20) and sizes[False][0] > 100
+
+
 def test_loads_write_even_sorted_files(spark):
     text = plan(upsert.arrange(upsert.with_partitions(st.mart_rows(spark, FOLDER)), mart_store.PARTITIONS, mart_store.SORT))
     assert "REBALANCE_PARTITIONS_BY_COL" in text
